@@ -5,12 +5,13 @@ Output shape of both paths: ``(order_id, item1, item2, n)`` with
 that carry this item pair. Baskets with repeated items therefore give self
 pairs ``(v, v)`` and counts above one, exactly as pairing positions does.
 
-The self-join path works on lines and never gathers a basket in one row. Each
-basket's distinct items are hashed into ``b = ceil(d / block_size)`` blocks and
-the join key is ``(order_id, block_of_item1, block_of_item2)``; a row is copied
-once per block of the other side. A basket of normal size is a single block
-(no copies); a basket with millions of items becomes ``b * b`` join keys of at
-most ``block_size`` rows a side, so no task gets the whole basket.
+The self-join path works on lines and never gathers a basket in one row.
+Baskets of normal size join on ``order_id``. A basket estimated (from a small
+sample) to hold ``d > block_size`` distinct items is split: its items are
+hashed into ``b = ceil(d / block_size)`` blocks, the join key is
+``(order_id, block_of_item1, block_of_item2)`` and each row is copied once per
+block of the other side, so the basket becomes ``b * b`` tasks' worth of keys
+of about ``block_size`` rows a side and no task gets the whole basket.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from basketry.functions.groups import item_pairs
 from basketry.operators.baskets import basket_items, is_array_baskets
 
 DEFAULT_BLOCK_SIZE = 4096
+DEFAULT_SAMPLE_FRACTION = 0.01
 
 
 def array_pair_occurrences(baskets: DataFrame) -> DataFrame:
@@ -31,35 +33,62 @@ def array_pair_occurrences(baskets: DataFrame) -> DataFrame:
                     F.lit(1).cast("bigint").alias("n")))
 
 
+def hot_baskets(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
+                sample_fraction: float = DEFAULT_SAMPLE_FRACTION, seed: int = 17) -> DataFrame:
+    """Baskets estimated to hold more than ``block_size`` distinct items: ``(order_id, _nb)``.
+
+    The estimate comes from a fixed-seed sample of ``(order_id, item, mult)``
+    rows (the same rows on recomputation), so only a small fraction is
+    shuffled. It only decides how a basket's pairs are split into tasks, never
+    which pairs are produced: a basket it misses is paired by the plain join.
+    """
+    est = (items.sample(fraction=sample_fraction, seed=seed)
+           .groupBy("order_id").agg((F.count(F.lit(1)) / F.lit(sample_fraction)).alias("_est")))
+    return (est.where(F.col("_est") > F.lit(block_size))
+            .select("order_id", F.greatest(F.lit(2), F.ceil(F.col("_est") / F.lit(block_size)))
+                    .cast("int").alias("_nb")))
+
+
+def _blocked_pairs(tagged: DataFrame) -> DataFrame:
+    """Pairs of baskets split into ``_nb`` item blocks: join key (order, block1, block2)."""
+    tagged = tagged.withColumn("_blk", F.pmod(F.xxhash64("item"), F.col("_nb")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
+    a = tagged.select("order_id", F.col("_blk").alias("_b1"), others.alias("_b2"),
+                      F.col("item").alias("item1"), F.col("mult").alias("_m1"))
+    b = tagged.select("order_id", others.alias("_b1"), F.col("_blk").alias("_b2"),
+                      F.col("item").alias("item2"), F.col("mult").alias("_m2"))
+    return a.join(b, ["order_id", "_b1", "_b2"]).where(F.col("item1") < F.col("item2"))
+
+
+def _plain_pairs(items: DataFrame) -> DataFrame:
+    a = items.select("order_id", F.col("item").alias("item1"), F.col("mult").alias("_m1"))
+    b = items.select("order_id", F.col("item").alias("item2"), F.col("mult").alias("_m2"))
+    return a.join(b, "order_id").where(F.col("item1") < F.col("item2"))
+
+
 def self_join_pair_occurrences(lines: DataFrame,
-                               block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
+                               block_size: int | None = DEFAULT_BLOCK_SIZE,
+                               sample_fraction: float = DEFAULT_SAMPLE_FRACTION) -> DataFrame:
     """Pairs of each basket by joining its lines with themselves.
 
-    ``block_size=None`` joins on ``order_id`` alone and leaves skew to AQE's
-    skew-join splitting.
+    Baskets flagged by ``hot_baskets`` take the blocked join; all others join
+    on ``order_id`` (both sides read one shuffle). ``block_size=None`` skips
+    the detection and leaves skew to AQE's skew-join splitting alone.
     """
     items = basket_items(lines)
     self_pairs = (items.where(F.col("mult") >= 2)
                   .select("order_id", F.col("item").alias("item1"), F.col("item").alias("item2"),
                           F.shiftright(F.col("mult") * (F.col("mult") - 1), 1).alias("n")))
     if block_size is None:
-        a = items.select("order_id", F.col("item").alias("item1"), F.col("mult").alias("_m1"))
-        b = items.select("order_id", F.col("item").alias("item2"), F.col("mult").alias("_m2"))
-        cross = a.join(b, "order_id").where(F.col("item1") < F.col("item2"))
+        cross = _plain_pairs(items)
     else:
         if block_size < 1:
             raise ValueError("block_size must be >= 1")
-        stats = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_d"))
-        n_blocks = F.greatest(F.lit(1), F.ceil(F.col("_d") / F.lit(block_size))).cast("int")
-        tagged = items.join(stats, "order_id").select(
-            "order_id", "item", "mult", n_blocks.alias("_nb"))
-        tagged = tagged.withColumn("_blk", F.pmod(F.xxhash64("item"), F.col("_nb")).cast("int"))
-        others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-        a = tagged.select("order_id", F.col("_blk").alias("_b1"), others.alias("_b2"),
-                          F.col("item").alias("item1"), F.col("mult").alias("_m1"))
-        b = tagged.select("order_id", others.alias("_b1"), F.col("_blk").alias("_b2"),
-                          F.col("item").alias("item2"), F.col("mult").alias("_m2"))
-        cross = a.join(b, ["order_id", "_b1", "_b2"]).where(F.col("item1") < F.col("item2"))
+        tagged = items.join(hot_baskets(items, block_size, sample_fraction), "order_id", "left")
+        normal = tagged.where(F.col("_nb").isNull()).drop("_nb")
+        hot = tagged.where(F.col("_nb").isNotNull())
+        cross = _plain_pairs(normal).unionByName(
+            _blocked_pairs(hot).select("order_id", "item1", "item2", "_m1", "_m2"))
     cross = cross.select("order_id", "item1", "item2", (F.col("_m1") * F.col("_m2")).alias("n"))
     return cross.unionByName(self_pairs)
 
