@@ -7,9 +7,10 @@ and no per-row lookup happens.
 
 Strategies:
 
-* ``auto``: plain semi join. AQE measures the filter side after its shuffle
-  stage and turns the join into a broadcast join only when that measured size
-  is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+* ``auto``: a filter side with a proven row bound (e.g. at most ``num_buckets``
+  buckets) under ``max_broadcast_rows`` is broadcast; any other is a plain
+  semi join, which AQE turns into a broadcast join only when the side's
+  measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 * ``broadcast``: replicate the filter side, but only behind a size check: a
   proven static bound (e.g. the bucket count) or a counted row number; above
   ``max_broadcast_rows`` it falls back to the shuffled join.
@@ -42,12 +43,12 @@ def prepare_side(keys: DataFrame, key_col: str, strategy: str, bound_rows: int |
     """The key column as ``_member``, with the join strategy applied on top."""
     check_strategy(strategy)
     keys = keys.select(F.col(key_col).alias("_member"))
-    if strategy == "auto":
-        return keys
     if strategy == "shuffle":
         return keys.hint("shuffle_hash")
     if bound_rows is not None and bound_rows <= max_broadcast_rows:
         return F.broadcast(keys)
+    if strategy == "auto":
+        return keys
     # No static bound: count it. The persisted copy is reused by the join (and
     # recomputed from its lineage if an executor holding it is lost).
     keys = keys.persist(StorageLevel.MEMORY_AND_DISK)
