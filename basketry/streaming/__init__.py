@@ -1 +1,7 @@
-"""streaming"""
+"""Streaming: intentionally empty.
+
+Every job of the reference is batch (text files and tables in, text files and
+tables out); it has no watermark, window, state or late-data handling, so no
+streaming operator is built here. The batch operators take any DataFrame and
+can be applied to micro-batches through ``foreachBatch`` by the caller.
+"""
