@@ -12,7 +12,8 @@ Strategies:
   semi join, which AQE turns into a broadcast join only when the side's
   measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 * ``broadcast``: replicate the filter side, but only behind a size check: a
-  proven static bound (e.g. the bucket count) or a counted row number; above
+  proven static bound (e.g. the bucket count) or the row count of the side
+  written once to the checkpoint folder; above
   ``max_broadcast_rows`` it falls back to the shuffled join.
 * ``shuffle``: shuffled hash join on both sides, for filter sides too big to
   replicate.
@@ -22,10 +23,11 @@ from __future__ import annotations
 
 import logging
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.session import ensure_checkpoint_dir
+
 STRATEGIES = ("auto", "broadcast", "shuffle")
 MAX_BROADCAST_ROWS = 4_000_000
 
@@ -49,9 +51,11 @@ def prepare_side(keys: DataFrame, key_col: str, strategy: str, bound_rows: int |
         return F.broadcast(keys)
     if strategy == "auto":
         return keys
-    # No static bound: count it. The persisted copy is reused by the join (and
-    # recomputed from its lineage if an executor holding it is lost).
-    keys = keys.persist(StorageLevel.MEMORY_AND_DISK)
+    # No static bound: materialise it once in the shared checkpoint folder
+    # (lineage cut, so a lost executor does not recompute the scan) and count
+    # the written rows.
+    ensure_checkpoint_dir(keys.sparkSession)
+    keys = keys.checkpoint(eager=True)
     n = keys.count()
     if n <= max_broadcast_rows:
         return F.broadcast(keys)

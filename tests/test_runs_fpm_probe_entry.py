@@ -91,3 +91,20 @@ def test_registered_queries_run_small(spark, name):
     assert os.path.isdir(SF_SMALL)
     df = entry_mod.queries()[name](spark, SF_SMALL)
     assert df.count() >= 0
+
+
+def test_fp_growth_pairs_equal_frequent_pairs_on_distinct_baskets(spark):
+    from basketry.operators.counting import frequent_pairs
+    from basketry.operators.fpm import transaction_sets
+    from basketry.sources.tables import order_lines_from_dir
+
+    lines = order_lines_from_dir(spark, SF_SMALL)
+    tx = transaction_sets(lines)
+    n = tx.count()
+    support = 1                        # strict: count > 1, i.e. freq >= 2
+    min_support = 1.5 / n              # ceil(1.5) = 2
+    sets = fp_growth(tx, min_support).where(F.size("items") == 2)
+    got = sorted((min(r.items), max(r.items), r.freq) for r in sets.collect())
+    exact = frequent_pairs(lines, support, distinct_items=True).collect()
+    assert got == sorted(tuple(r) for r in exact)
+    assert len(got) > 0
