@@ -69,17 +69,9 @@ def basket_items(lines: DataFrame) -> DataFrame:
     return lines.groupBy("order_id", "item").agg(F.count(F.lit(1)).alias("mult"))
 
 
-def basket_runs(df: DataFrame, key: str, item: str, order: Sequence[str],
-                chunk: Sequence[Column | str], min_items: int = 1) -> DataFrame:
-    """Baskets from *consecutive* rows with the same key, in ``order``.
-
-    ``chunk`` names column(s) that cut the ordered rows into contiguous ranges
-    (all rows of a chunk come before all rows of the next chunk). Run breaks
-    are found with a window per chunk; one small window over the per-chunk
-    summaries stitches runs that cross chunk borders. No step puts all rows in
-    one task. Output ``(key, run_start, n_items, items)``; ``run_start`` is the
-    order value of the run's first row and ``items`` keep row order.
-    """
+def _runs(df: DataFrame, key: str, item: str, order: Sequence[str],
+          chunk: Sequence[Column | str]) -> DataFrame:
+    """Rows with a global run id ``_run`` (plus ``_key``, ``_item`` and the order columns)."""
     order = list(order)
     chunk_cols = [F.col(c) if isinstance(c, str) else c for c in chunk]
     ck = [f"_ck{i}" for i in range(len(chunk_cols))]
@@ -105,8 +97,44 @@ def basket_runs(df: DataFrame, key: str, item: str, order: Sequence[str],
                .withColumn("_true", F.col("_nb") - 1 + F.col("_first_true")))
     summary = summary.select(*ck, F.col("_first_true"), F.coalesce(F.sum("_true").over(
         w2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    runs = (local.join(summary, ck)
-            .withColumn("_run", F.col("_offset") + F.col("_local") - (1 - F.col("_first_true"))))
+    return (local.join(summary, ck)
+            .withColumn("_run", F.col("_offset") + F.col("_local") - (1 - F.col("_first_true")))
+            .select("_run", "_key", "_item", *order))
+
+
+def basket_run_rows(df: DataFrame, key: str, item: str, order: Sequence[str],
+                    chunk: Sequence[Column | str], min_items: int = 1) -> DataFrame:
+    """B5, one row per input row: ``(key, run_start, n_items, <order cols>, item)``.
+
+    Consecutive rows (in ``order``) with the same key form a run. ``chunk``
+    names column(s) that cut the ordered rows into contiguous ranges (all rows
+    of a chunk come before all rows of the next). Run breaks are found with a
+    window per chunk; one small window over the per-chunk summaries (one row
+    per chunk) stitches runs that cross chunk borders. Run sizes come from an
+    aggregate joined back, so no step gathers a run, a key or all rows in one
+    task.
+    """
+    order = list(order)
+    runs = _runs(df, key, item, order, chunk)
+    start = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    stats = runs.groupBy("_run").agg(F.min(start).alias("run_start"),
+                                     F.count(F.lit(1)).alias("n_items"))
+    if min_items > 1:
+        stats = stats.where(F.col("n_items") >= min_items)
+    return runs.join(stats, "_run").select(F.col("_key").alias("key"), "run_start", "n_items",
+                                           *order, F.col("_item").alias("item"))
+
+
+def basket_runs(df: DataFrame, key: str, item: str, order: Sequence[str],
+                chunk: Sequence[Column | str], min_items: int = 1) -> DataFrame:
+    """B5 as baskets: ``(key, run_start, n_items, items)``, items in row order.
+
+    One row per run, as a basket line needs; ``basket_run_rows`` gives the
+    same runs without gathering each one into an array.
+    """
+    order = list(order)
+    runs = _runs(df, key, item, order, chunk)
+    pos = F.struct(*order)
     start = F.col(order[0]) if len(order) == 1 else pos
     grouped = runs.groupBy("_run").agg(
         F.min_by("_key", pos).alias("key"),

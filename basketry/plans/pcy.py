@@ -60,19 +60,31 @@ def pcy_candidates(baskets: DataFrame, support: int, num_buckets: int = PAIR_BUC
 def pcy_pass(baskets: DataFrame, n: int, support: int,
              hash_n: Callable[[Column], Column] | None = None,
              hash_n1: Callable[[Column], Column] | None = None):
-    """Pass n over basket arrays.
+    """Pass n of PCY.
 
-    Returns ``(frequent_n, bitmap_n1, groups_n1)``: hashes of the n-groups with
+    ``baskets`` are arrays, or lines for n = 1. Returns
+    ``(frequent_n, bitmap_n1, groups_n1)``: hashes of the n-groups with
     count > support, buckets of the (n+1)-groups with count > support, and the
     (n+1)-groups themselves ``(order_id, group)``. Default hashes are the
     reference's: plain product mod 1e8 for n-groups, product of (2x+1) mod
     999917 for (n+1)-groups.
     """
     check_group_size(n)
-    if not is_array_baskets(baskets):
-        raise ValueError("pcy_pass needs baskets as (order_id, items array)")
     hash_n = hash_n or (lambda g: hash_single_group(g, SINGLE_MOD))
     hash_n1 = hash_n1 or (lambda g: hash_group(g, PAIR_BUCKETS))
+    if not is_array_baskets(baskets):
+        if n != 1:
+            raise ValueError("pcy_pass on lines supports n=1; pass basket arrays for n >= 2")
+        # Pass 1 (the reference's only pass) on lines: singletons are the
+        # lines, pairs come from the skew-safe self-join with multiplicities.
+        frequent_n = having_support(
+            bucket_counts(baskets, hash_n(F.array(F.col("item")))), support)
+        pairs = pair_occurrences(baskets)
+        bitmap_n1 = having_support(
+            bucket_counts(pairs, hash_n1(F.array("item1", "item2")), "n"), support)
+        groups_n1 = expand_occurrences(pairs).select(
+            "order_id", F.array("item1", "item2").alias("group"))
+        return frequent_n, bitmap_n1, groups_n1
     groups_n = baskets.select("order_id", F.explode(item_groups("items", n)).alias("group"))
     frequent_n = having_support(bucket_counts(groups_n, hash_n(F.col("group"))), support)
     groups_n1 = baskets.select("order_id", F.explode(item_groups("items", n + 1)).alias("group"))

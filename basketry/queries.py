@@ -143,10 +143,10 @@ def q_min_basket(spark, d):
 
 def q_basket_runs(spark, d):
     ev = _t(spark, d, "events")
-    runs = B.basket_runs(ev, "user_id", "event_type", ["event_id"],
-                         [F.floor(F.col("event_id") / RUN_CHUNK_ROWS)], min_items=2)
-    return runs.select(F.col("key").alias("user_id"), "run_start", "n_items",
-                       F.array_join("items", " ").alias("items"))
+    rows = B.basket_run_rows(ev, "user_id", "event_type", ["event_id"],
+                             [F.floor(F.col("event_id") / RUN_CHUNK_ROWS)], min_items=2)
+    return rows.select(F.col("key").alias("user_id"), "run_start", "n_items", "event_id",
+                       F.col("item").alias("event_type"))
 
 
 def q_order_baskets(spark, d):
@@ -379,9 +379,9 @@ ORACLE_SQL: dict[str, str] = {
         "(ORDER BY event_id) IS DISTINCT FROM user_id THEN 1 ELSE 0 END AS brk FROM events), "
         "g AS (SELECT *, sum(brk) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING "
         "AND CURRENT ROW) AS run FROM e) "
-        "SELECT user_id, min(event_id) AS run_start, count(*) AS n_items, "
-        "string_agg(event_type, ' ' ORDER BY event_id) AS items FROM g "
-        "GROUP BY run, user_id HAVING count(*) >= 2"),
+        "SELECT user_id, min(event_id) OVER (PARTITION BY run) AS run_start, "
+        "count(*) OVER (PARTITION BY run) AS n_items, event_id, event_type FROM g "
+        "QUALIFY count(*) OVER (PARTITION BY run) >= 2"),
     "item_groups_1": _with(_BP) + "SELECT order_id, item FROM bp",
     "item_groups_2": _pairs_sql() + "SELECT order_id, item1, item2 FROM pairs",
     "item_groups_k": _with(_BP, _R) + (

@@ -136,3 +136,13 @@ def test_pcy_pass_n2(spark):
     assert groups3.count() == sum(len(brute.groups(b, 3)) for b in baskets.values())
     with pytest.raises(ValueError):
         pcy_pass(lines_df(spark, baskets), 2, 1)
+
+
+def test_pcy_pass_1_lines_equals_arrays(spark):
+    baskets = _random_baskets(15)
+    a = pcy_pass(arrays_df(spark, baskets), 1, 1)
+    b = pcy_pass(lines_df(spark, baskets), 1, 1)
+    for x, y in zip(a[:2], b[:2]):
+        assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+    key = lambda r: (r.order_id, tuple(r.group))
+    assert sorted(map(key, a[2].collect())) == sorted(map(key, b[2].collect()))

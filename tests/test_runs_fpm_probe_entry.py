@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
-from basketry.operators.baskets import basket_runs
+from basketry.operators.baskets import basket_run_rows, basket_runs
 from basketry.operators.fpm import fp_growth
 from basketry.plans.baskets import csv_basket_lines, csv_basket_runs
 from basketry.plans.probe import coprime_multiplier, probe_hits, probe_pairs
@@ -35,6 +35,11 @@ def test_runs_two_level_equals_single_pass(spark, chunk):
     got = basket_runs(df, "key", "item", ["seq"], [F.floor(F.col("seq") / chunk)], min_items=2)
     got = sorted((r.key, r.run_start, r.n_items, tuple(r.items)) for r in got.collect())
     assert got == _python_runs(rows, 2)
+    flat = basket_run_rows(df, "key", "item", ["seq"], [F.floor(F.col("seq") / chunk)], 2)
+    regrouped = {}
+    for r in flat.orderBy("seq").collect():
+        regrouped.setdefault((r.key, r.run_start, r.n_items), []).append(r.item)
+    assert sorted(k + (tuple(v),) for k, v in regrouped.items()) == _python_runs(rows, 2)
 
 
 def test_csv_runs_and_grouped_baskets(spark, tmp_path):
