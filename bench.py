@@ -1,6 +1,7 @@
 """Benchmark the headline queries; prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
+BENCH_SHUFFLE_PARTITIONS (default 2 x cpus),
 BENCH_QUERIES (comma list; default the headline set), BENCH_ALL=1 for every
 registered query. Each query is run to completion with the ``noop`` sink (no
 collect); the JVM is warmed up once first.
@@ -31,8 +32,9 @@ def main():
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = (list(QUERIES) if os.environ.get("BENCH_ALL") == "1"
              else [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q])
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(cpus * 2, 8))))
     spark = get_session("basketry-bench", master=f"local[{cpus}]",
-                        shuffle_partitions=max(cpus * 2, 8),
+                        shuffle_partitions=partitions,
                         extra_conf={"spark.driver.memory": "16g",
                                     "spark.sql.execution.arrow.pyspark.enabled": "true"})
     spark.sparkContext.setLogLevel("ERROR")
