@@ -94,10 +94,21 @@ def self_join_pair_occurrences(lines: DataFrame,
 
 
 def pair_occurrences(df: DataFrame, block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
-    """Pairs of baskets given as arrays (narrow path) or as lines (self-join path)."""
-    if is_array_baskets(df):
+    """Pairs of baskets given as arrays or as lines.
+
+    Lines take the self-join path. Arrays of at most ``block_size`` items are
+    expanded in place (narrow, no shuffle); larger arrays are exploded to lines
+    and take the self-join path, so one giant basket row is never expanded
+    quadratically inside one task.
+    """
+    if not is_array_baskets(df):
+        return self_join_pair_occurrences(df, block_size)
+    if block_size is None:
         return array_pair_occurrences(df)
-    return self_join_pair_occurrences(df, block_size)
+    size = F.size("items")
+    small = array_pair_occurrences(df.where(size <= block_size))
+    big_lines = df.where(size > block_size).select("order_id", F.explode("items").alias("item"))
+    return small.unionByName(self_join_pair_occurrences(big_lines, block_size))
 
 
 def expand_occurrences(pairs: DataFrame, cols=("order_id", "item1", "item2")) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from basketry.operators.counting import (frequent_buckets, frequent_items, frequent_pairs,
                                          pair_count)
 from basketry.operators.pairs import (array_pair_occurrences, expand_occurrences,
-                                      self_join_pair_occurrences)
+                                      pair_occurrences, self_join_pair_occurrences)
 from basketry.plans.pcy import pcy_candidates, pcy_pass
 from tests import brute
 from tests.conftest import arrays_df, lines_df
@@ -38,6 +38,8 @@ def test_pair_paths_agree_with_brute_force(spark):
     # force the blocked path: every basket above 8 items is split into blocks
     assert _occ(self_join_pair_occurrences(lines, block_size=8, sample_fraction=1.0)) == expect
     assert _occ(array_pair_occurrences(arrays_df(spark, baskets))) == expect
+    # arrays above block_size leave the in-row path for the self-join
+    assert _occ(pair_occurrences(arrays_df(spark, baskets), block_size=5)) == expect
     assert pair_count(lines).first().pair_count == len(expect)
     assert pair_count(arrays_df(spark, baskets)).first().pair_count == len(expect)
 
