@@ -148,3 +148,23 @@ def test_pcy_pass_1_lines_equals_arrays(spark):
         assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
     key = lambda r: (r.order_id, tuple(r.group))
     assert sorted(map(key, a[2].collect())) == sorted(map(key, b[2].collect()))
+
+
+def test_hot_basket_detected_from_sample_and_split(spark):
+    from pyspark.sql import functions as F
+
+    from basketry.operators.baskets import basket_items
+    from basketry.operators.pairs import hot_baskets
+
+    hot = spark.range(3000).select(F.lit(-1).cast("bigint").alias("order_id"),
+                                   F.col("id").alias("item"))
+    normal = spark.range(2000).select((F.col("id") % 400).alias("order_id"),
+                                      (F.col("id") % 37).alias("item"))
+    lines = hot.unionByName(normal)
+    flagged = hot_baskets(basket_items(lines), block_size=256, sample_fraction=0.05).collect()
+    assert [r.order_id for r in flagged] == [-1] and flagged[0]._nb >= 2
+    pairs = self_join_pair_occurrences(lines, block_size=256, sample_fraction=0.05)
+    got = pairs.groupBy((F.col("order_id") == -1).alias("hot")).agg(F.sum("n").alias("n"))
+    got = {r.hot: r.n for r in got.collect()}
+    assert got[True] == 3000 * 2999 // 2
+    assert got[False] == pair_count(normal).first().pair_count
