@@ -168,3 +168,24 @@ def test_hot_basket_detected_from_sample_and_split(spark):
     got = {r.hot: r.n for r in got.collect()}
     assert got[True] == 3000 * 2999 // 2
     assert got[False] == pair_count(normal).first().pair_count
+
+
+def test_third_of_all_lines_in_one_basket(spark):
+    """One order holds a third of the sf0.001 lines: detected, blocked, results exact."""
+    from pyspark.sql import functions as F
+
+    from basketry.sources.tables import order_lines_from_dir
+    from tests.conftest import SF_SMALL
+
+    base = order_lines_from_dir(spark, SF_SMALL)
+    skewed = base.select(F.when(F.pmod(F.xxhash64("order_id", "item"), F.lit(3)) == 0,
+                                F.lit(-7)).otherwise(F.col("order_id")).cast("bigint")
+                         .alias("order_id"), "item")
+    hot_lines = skewed.where("order_id = -7").count()
+    assert hot_lines > 1500
+    expect = pair_count(skewed).first().pair_count
+    pairs = self_join_pair_occurrences(skewed, block_size=32, sample_fraction=0.1)
+    assert pairs.agg(F.sum("n")).first()[0] == expect
+    total = frequent_pairs(skewed, 0, block_size=32).agg(F.sum("support")).first()[0]
+    assert total == expect
+    assert pcy_candidates(skewed, 0, item_mod=None, block_size=32).count() == expect
