@@ -37,12 +37,17 @@ def hot_baskets(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
                 sample_fraction: float = DEFAULT_SAMPLE_FRACTION, seed: int = 17) -> DataFrame:
     """Baskets estimated to hold more than ``block_size`` distinct items: ``(order_id, _nb)``.
 
-    The estimate comes from a fixed-seed sample of ``(order_id, item, mult)``
-    rows (the same rows on recomputation), so only a small fraction is
-    shuffled. It only decides how a basket's pairs are split into tasks, never
-    which pairs are produced: a basket it misses is paired by the plain join.
+    The estimate counts a sample of the ``(order_id, item)`` rows, so only a
+    small fraction is shuffled. Rows are picked by a hash of their content, not
+    by position, so a recomputed partition (after a lost executor) picks the
+    same rows and every basket keeps its path. The estimate only decides how a
+    basket's pairs are split into tasks, never which pairs are produced: a
+    basket it misses is paired by the plain join.
     """
-    est = (items.sample(fraction=sample_fraction, seed=seed)
+    scale = 1 << 20
+    picked = F.pmod(F.xxhash64(F.lit(seed), "order_id", "item"), F.lit(scale)) < F.lit(
+        int(sample_fraction * scale))
+    est = (items.where(picked)
            .groupBy("order_id").agg((F.count(F.lit(1)) / F.lit(sample_fraction)).alias("_est")))
     return (est.where(F.col("_est") > F.lit(block_size))
             .select("order_id", F.greatest(F.lit(2), F.ceil(F.col("_est") / F.lit(block_size)))
