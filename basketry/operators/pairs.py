@@ -37,16 +37,18 @@ def hot_baskets(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
                 sample_fraction: float = DEFAULT_SAMPLE_FRACTION, seed: int = 17) -> DataFrame:
     """Baskets estimated to hold more than ``block_size`` distinct items: ``(order_id, _nb)``.
 
-    The estimate counts a sample of the ``(order_id, item)`` rows, so only a
-    small fraction is shuffled. Rows are picked by a hash of their content, not
-    by position, so a recomputed partition (after a lost executor) picks the
-    same rows and every basket keeps its path. The estimate only decides how a
-    basket's pairs are split into tasks, never which pairs are produced: a
-    basket it misses is paired by the plain join.
+    The estimate counts a sample of the ``(order_id, item, mult)`` rows, so
+    only a small fraction is shuffled. Rows are picked by a hash of their whole
+    content, not by position, so a recomputed partition (after a lost executor)
+    picks the same rows and every basket keeps its path. Hashing ``mult`` too
+    keeps the sample above the per-item aggregate: it reads that aggregate's
+    shuffle output instead of scanning and joining the order lines again. The
+    estimate only decides how a basket's pairs are split into tasks, never
+    which pairs are produced: a basket it misses is paired by the plain join.
     """
     scale = 1 << 20
-    picked = F.pmod(F.xxhash64(F.lit(seed), "order_id", "item"), F.lit(scale)) < F.lit(
-        int(sample_fraction * scale))
+    picked = F.pmod(F.xxhash64(F.lit(seed), "order_id", "item", "mult"),
+                    F.lit(scale)) < F.lit(int(sample_fraction * scale))
     est = (items.where(picked)
            .groupBy("order_id").agg((F.count(F.lit(1)) / F.lit(sample_fraction)).alias("_est")))
     return (est.where(F.col("_est") > F.lit(block_size))
@@ -62,13 +64,13 @@ def _blocked_pairs(tagged: DataFrame) -> DataFrame:
                       F.col("item").alias("item1"), F.col("mult").alias("_m1"))
     b = tagged.select("order_id", others.alias("_b1"), F.col("_blk").alias("_b2"),
                       F.col("item").alias("item2"), F.col("mult").alias("_m2"))
-    return a.join(b, ["order_id", "_b1", "_b2"]).where(F.col("item1") < F.col("item2"))
+    return a.join(b, ["order_id", "_b1", "_b2"]).where(F.col("item1") <= F.col("item2"))
 
 
 def _plain_pairs(items: DataFrame) -> DataFrame:
     a = items.select("order_id", F.col("item").alias("item1"), F.col("mult").alias("_m1"))
     b = items.select("order_id", F.col("item").alias("item2"), F.col("mult").alias("_m2"))
-    return a.join(b, "order_id").where(F.col("item1") < F.col("item2"))
+    return a.join(b, "order_id").where(F.col("item1") <= F.col("item2"))
 
 
 def self_join_pair_occurrences(lines: DataFrame,
@@ -81,9 +83,6 @@ def self_join_pair_occurrences(lines: DataFrame,
     the detection and leaves skew to AQE's skew-join splitting alone.
     """
     items = basket_items(lines)
-    self_pairs = (items.where(F.col("mult") >= 2)
-                  .select("order_id", F.col("item").alias("item1"), F.col("item").alias("item2"),
-                          F.shiftright(F.col("mult") * (F.col("mult") - 1), 1).alias("n")))
     if block_size is None:
         cross = _plain_pairs(items)
     else:
@@ -94,8 +93,13 @@ def self_join_pair_occurrences(lines: DataFrame,
         hot = tagged.where(F.col("_nb").isNotNull())
         cross = _plain_pairs(normal).unionByName(
             _blocked_pairs(hot).select("order_id", "item1", "item2", "_m1", "_m2"))
-    cross = cross.select("order_id", "item1", "item2", (F.col("_m1") * F.col("_m2")).alias("n"))
-    return cross.unionByName(self_pairs)
+    # The join pairs every item with itself as well: such a row stands for the
+    # m(m-1)/2 position pairs of an item repeated m times (none when m = 1).
+    n = F.when(F.col("item1") == F.col("item2"),
+               F.shiftright(F.col("_m1") * (F.col("_m1") - 1), 1)).otherwise(
+        F.col("_m1") * F.col("_m2"))
+    return (cross.select("order_id", "item1", "item2", n.alias("n"))
+            .where(F.col("n") > F.lit(0)))
 
 
 def pair_occurrences(df: DataFrame, block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
