@@ -41,6 +41,20 @@ def frequent_items(baskets: DataFrame, support: int, item_mod: int | None = None
     return having_support(item_counts(baskets, item_mod), support)
 
 
+def shared_item_counts(baskets: DataFrame, item_mod: int | None = None) -> DataFrame:
+    """``item_counts`` for plans that also make pairs from the same baskets.
+
+    For lines the counts are summed from the per-basket multiplicities
+    ``(order_id, item, mult)`` that pair generation builds anyway, so both
+    read one shuffle of the lines instead of scanning and joining the order
+    tables twice. Arrays are counted directly (their pairs need no shuffle).
+    """
+    if is_array_baskets(baskets):
+        return item_counts(baskets, item_mod)
+    return (basket_items(baskets).groupBy(hash_single(F.col("item"), item_mod).alias("item"))
+            .agg(F.sum("mult").cast("bigint").alias("support")))
+
+
 def pair_buckets(pairs: DataFrame, num_buckets: int = PAIR_BUCKETS) -> DataFrame:
     return pairs.withColumn("bucket", hash_pair("item1", "item2", num_buckets))
 

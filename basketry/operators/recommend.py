@@ -59,7 +59,9 @@ def top_partners(recs: DataFrame, k: int = 5, requests: DataFrame | None = None)
     """
     rows = both_directions(recs)
     if requests is not None:
-        rows = rows.join(requests.select("product_id").distinct(), "product_id", "left_semi")
+        # A semi join ignores repeated keys on its right side, so the requests
+        # need no distinct of their own (and the same scan can serve the caller).
+        rows = rows.join(requests.select("product_id"), "product_id", "left_semi")
     w = Window.partitionBy("product_id", "direction").orderBy(F.desc("support"), F.asc("rec_id"))
     return (rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 

@@ -299,7 +299,7 @@ def q_recs_preview(spark, d):
 # ---------------------------------------------------------------- probe, pages
 def q_probe_random_pairs(spark, d):
     lines = _lines(spark, d)
-    items = C.frequent_items(lines, PROBE_ITEM_SUPPORT)
+    items = C.having_support(C.shared_item_counts(lines), PROBE_ITEM_SUPPORT)
     pairs = self_join_pair_occurrences(lines)
     buckets = C.having_support(
         C.bucket_counts(pairs, hash_pair_1000("item1", "item2"), "n"), PROBE_BUCKET_SUPPORT)
