@@ -23,7 +23,7 @@ from basketry.functions.groups import check_group_size, item_groups
 from basketry.functions.hashes import PAIR_BUCKETS, SINGLE_MOD, hash_group, hash_single_group
 from basketry.operators.baskets import is_array_baskets
 from basketry.operators.counting import (bucket_counts, frequent_buckets, having_support,
-                                         pair_buckets, shared_item_counts)
+                                         item_counts, pair_buckets, shared_item_counts)
 from basketry.operators.membership import check_strategy, keep_members, prepare_side
 from basketry.operators.pairs import DEFAULT_BLOCK_SIZE, expand_occurrences, pair_occurrences
 
@@ -34,7 +34,12 @@ def pcy_filtered_pairs(baskets: DataFrame, support: int, num_buckets: int = PAIR
     """Candidate pairs with multiplicity: ``(order_id, item1, item2, n, bucket)``."""
     check_strategy(strategy)
     pairs = pair_buckets(pair_occurrences(baskets, block_size), num_buckets)
-    items = having_support(shared_item_counts(baskets, item_mod), support)
+    # Under "broadcast" the item side is counted in a job of its own before the
+    # main query (to check its size), so it is counted straight from the
+    # lines; otherwise it shares the per-basket aggregate with the pairs.
+    counts = (item_counts(baskets, item_mod) if strategy == "broadcast"
+              else shared_item_counts(baskets, item_mod))
+    items = having_support(counts, support)
     # With item_mod the frequent keys are hashes compared with raw items (the
     # reference's rule): at most item_mod of them.
     items = prepare_side(items, "item", strategy, bound_rows=item_mod)
