@@ -73,6 +73,23 @@ def _plain_pairs(items: DataFrame) -> DataFrame:
     return a.join(b, "order_id").where(F.col("item1") <= F.col("item2"))
 
 
+def _item_pair_rows(lines: DataFrame, block_size: int | None,
+                    sample_fraction: float) -> DataFrame:
+    """``(order_id, item1, item2, _m1, _m2)``: each pair of distinct items of a
+    basket with ``item1 <= item2`` (every item with itself too) and their
+    multiplicities. Baskets flagged by ``hot_baskets`` take the blocked join."""
+    items = basket_items(lines)
+    if block_size is None:
+        return _plain_pairs(items)
+    if block_size < 1:
+        raise ValueError("block_size must be >= 1")
+    tagged = items.join(hot_baskets(items, block_size, sample_fraction), "order_id", "left")
+    normal = tagged.where(F.col("_nb").isNull()).drop("_nb")
+    hot = tagged.where(F.col("_nb").isNotNull())
+    return _plain_pairs(normal).unionByName(
+        _blocked_pairs(hot).select("order_id", "item1", "item2", "_m1", "_m2"))
+
+
 def self_join_pair_occurrences(lines: DataFrame,
                                block_size: int | None = DEFAULT_BLOCK_SIZE,
                                sample_fraction: float = DEFAULT_SAMPLE_FRACTION) -> DataFrame:
@@ -82,17 +99,7 @@ def self_join_pair_occurrences(lines: DataFrame,
     on ``order_id`` (both sides read one shuffle). ``block_size=None`` skips
     the detection and leaves skew to AQE's skew-join splitting alone.
     """
-    items = basket_items(lines)
-    if block_size is None:
-        cross = _plain_pairs(items)
-    else:
-        if block_size < 1:
-            raise ValueError("block_size must be >= 1")
-        tagged = items.join(hot_baskets(items, block_size, sample_fraction), "order_id", "left")
-        normal = tagged.where(F.col("_nb").isNull()).drop("_nb")
-        hot = tagged.where(F.col("_nb").isNotNull())
-        cross = _plain_pairs(normal).unionByName(
-            _blocked_pairs(hot).select("order_id", "item1", "item2", "_m1", "_m2"))
+    cross = _item_pair_rows(lines, block_size, sample_fraction)
     # The join pairs every item with itself as well: such a row stands for the
     # m(m-1)/2 position pairs of an item repeated m times (none when m = 1).
     n = F.when(F.col("item1") == F.col("item2"),
@@ -102,6 +109,57 @@ def self_join_pair_occurrences(lines: DataFrame,
             .where(F.col("n") > F.lit(0)))
 
 
+def triple_occurrences(lines: DataFrame, block_size: int | None = DEFAULT_BLOCK_SIZE,
+                       sample_fraction: float = DEFAULT_SAMPLE_FRACTION) -> DataFrame:
+    """G3 with k = 3 on lines: ``(order_id, item1, item2, item3, n)``.
+
+    The groups of a sorted basket ``b`` are ``(b[i], b[i+1], b[j])`` for
+    ``j >= i + 2``; ``n`` counts the position triples giving each group. Over
+    the basket's distinct items ``a`` (multiplicity ``m_a``, next larger item
+    ``s``), they are exactly:
+
+    * ``(a, a, a)``, ``C(m_a - 1, 2)`` times;
+    * ``(a, a, c)`` for each item ``c > a``, ``(m_a - 1) * m_c`` times;
+    * ``(a, s, s)``, ``m_s - 1`` times;
+    * ``(a, s, c)`` for each item ``c > s``, ``m_c`` times.
+
+    So everything comes from the item pairs of the skew-safe pair join (which
+    pairs each item with itself too): one aggregate keyed by ``(order_id, a)``
+    gives ``m_a`` and the successor ``s`` (the smallest larger partner), and
+    the last case joins those successor rows with the pairs on
+    ``(order_id, s, m_s)``, a key each successor row holds once. No step gathers a
+    basket in one row, task or group.
+    """
+    rows = _item_pair_rows(lines, block_size, sample_fraction)
+    pairs = rows.where(F.col("item1") < F.col("item2"))
+    later = F.when(F.col("item2") > F.col("item1"),
+                   F.struct(F.col("item2").alias("s"), F.col("_m2").alias("ms")))
+    per_item = (rows.groupBy("order_id", "item1")
+                .agg(F.max("_m1").alias("ma"), F.min(later).alias("_n"))
+                .select("order_id", F.col("item1").alias("a"), "ma", "_n.s", "_n.ms"))
+    ma, m1, m2, ms = F.col("ma"), F.col("_m1"), F.col("_m2"), F.col("ms")
+    cols = ["order_id", "item1", "item2", "item3", "n"]
+    one = per_item.where(ma >= 3).select(
+        "order_id", F.col("a").alias("item1"), F.col("a").alias("item2"),
+        F.col("a").alias("item3"), F.shiftright((ma - 1) * (ma - 2), 1).alias("n"))
+    two = pairs.where(m1 >= 2).select(
+        "order_id", "item1", F.col("item1").alias("item2"), F.col("item2").alias("item3"),
+        ((m1 - 1) * m2).alias("n"))
+    succ = per_item.where(F.col("s").isNotNull())
+    three = succ.where(ms >= 2).select(
+        "order_id", F.col("a").alias("item1"), F.col("s").alias("item2"),
+        F.col("s").alias("item3"), (ms - 1).alias("n"))
+    # Joined on the successor's item and multiplicity, as the pair rows carry
+    # both (the multiplicity follows from the item, so it selects nothing more).
+    four = (succ.join(pairs.select("order_id", F.col("item1").alias("s"),
+                                   F.col("_m1").alias("ms"), "item2", "_m2"),
+                      ["order_id", "s", "ms"])
+            .select("order_id", F.col("a").alias("item1"), F.col("s").alias("item2"),
+                    F.col("item2").alias("item3"), F.col("_m2").alias("n")))
+    return (one.select(cols).unionByName(two.select(cols)).unionByName(three.select(cols))
+            .unionByName(four.select(cols)))
+
+
 def pair_occurrences(df: DataFrame, block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Pairs of baskets given as arrays or as lines.
 

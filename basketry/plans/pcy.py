@@ -25,7 +25,8 @@ from basketry.operators.baskets import is_array_baskets
 from basketry.operators.counting import (bucket_counts, frequent_buckets, having_support,
                                          item_counts, pair_buckets, shared_item_counts)
 from basketry.operators.membership import check_strategy, keep_members, prepare_side
-from basketry.operators.pairs import DEFAULT_BLOCK_SIZE, expand_occurrences, pair_occurrences
+from basketry.operators.pairs import (DEFAULT_BLOCK_SIZE, expand_occurrences, pair_occurrences,
+                                      triple_occurrences)
 
 
 def pcy_filtered_pairs(baskets: DataFrame, support: int, num_buckets: int = PAIR_BUCKETS,
@@ -67,7 +68,7 @@ def pcy_pass(baskets: DataFrame, n: int, support: int,
              hash_n1: Callable[[Column], Column] | None = None):
     """Pass n of PCY.
 
-    ``baskets`` are arrays, or lines for n = 1. Returns
+    ``baskets`` are arrays, or lines for n = 1 and 2. Returns
     ``(frequent_n, bitmap_n1, groups_n1)``: hashes of the n-groups with
     count > support, buckets of the (n+1)-groups with count > support, and the
     (n+1)-groups themselves ``(order_id, group)``. Default hashes are the
@@ -78,17 +79,27 @@ def pcy_pass(baskets: DataFrame, n: int, support: int,
     hash_n = hash_n or (lambda g: hash_single_group(g, SINGLE_MOD))
     hash_n1 = hash_n1 or (lambda g: hash_group(g, PAIR_BUCKETS))
     if not is_array_baskets(baskets):
-        if n != 1:
-            raise ValueError("pcy_pass on lines supports n=1; pass basket arrays for n >= 2")
-        # Pass 1 (the reference's only pass) on lines: singletons are the
-        # lines, pairs come from the skew-safe self-join with multiplicities.
-        frequent_n = having_support(
-            bucket_counts(baskets, hash_n(F.array(F.col("item")))), support)
-        pairs = pair_occurrences(baskets)
+        if n > 2:
+            raise ValueError("pcy_pass on lines supports n = 1 and 2; pass basket arrays "
+                             "for n >= 3")
+        # Lines: groups come from the skew-safe self-join with multiplicities
+        # (pairs), and for n = 2 from the pair-based triples; each group row
+        # carries its occurrence count ``n``, so counts are weighted sums.
+        if n == 1:
+            frequent_n = having_support(
+                bucket_counts(baskets, hash_n(F.array(F.col("item")))), support)
+            upper = pair_occurrences(baskets)
+            cols = ["item1", "item2"]
+        else:
+            pairs = pair_occurrences(baskets)
+            frequent_n = having_support(
+                bucket_counts(pairs, hash_n(F.array("item1", "item2")), "n"), support)
+            upper = triple_occurrences(baskets)
+            cols = ["item1", "item2", "item3"]
         bitmap_n1 = having_support(
-            bucket_counts(pairs, hash_n1(F.array("item1", "item2")), "n"), support)
-        groups_n1 = expand_occurrences(pairs).select(
-            "order_id", F.array("item1", "item2").alias("group"))
+            bucket_counts(upper, hash_n1(F.array(*cols)), "n"), support)
+        groups_n1 = expand_occurrences(upper, ["order_id", *cols]).select(
+            "order_id", F.array(*cols).alias("group"))
         return frequent_n, bitmap_n1, groups_n1
     groups_n = baskets.select("order_id", F.explode(item_groups("items", n)).alias("group"))
     frequent_n = having_support(bucket_counts(groups_n, hash_n(F.col("group"))), support)

@@ -26,7 +26,7 @@ from basketry.operators import recommend as R
 from basketry.operators.fpm import fp_growth, transaction_sets
 from basketry.operators.pages import extract_unique
 from basketry.operators.pairs import (array_pair_occurrences, expand_occurrences,
-                                      self_join_pair_occurrences)
+                                      self_join_pair_occurrences, triple_occurrences)
 from basketry.plans.baskets import csv_basket_lines, order_baskets
 from basketry.plans.pcy import pcy_candidates, pcy_filtered_pairs, pcy_pass
 from basketry.plans.probe import coprime_multiplier, probe_hits
@@ -166,10 +166,8 @@ def q_item_groups_2(spark, d):
 
 
 def q_item_groups_k(spark, d):
-    b = _baskets(spark, d)
-    return b.select("order_id", F.explode(item_groups("items", 3)).alias("g")).select(
-        "order_id", F.col("g")[0].alias("item1"), F.col("g")[1].alias("item2"),
-        F.col("g")[2].alias("item3"))
+    return expand_occurrences(triple_occurrences(_lines(spark, d)),
+                              ("order_id", "item1", "item2", "item3"))
 
 
 def q_basket_self_pairs(spark, d):
@@ -236,7 +234,7 @@ def q_distinct_keys(spark, d):
 
 
 def q_pcy_pass_n(spark, d):
-    _, bitmap, _ = pcy_pass(_baskets(spark, d), 2, PAIR_SUPPORT)
+    _, bitmap, _ = pcy_pass(_lines(spark, d), 2, PAIR_SUPPORT)
     return bitmap
 
 

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from basketry.operators.counting import (frequent_buckets, frequent_items, frequent_pairs,
                                          pair_count)
 from basketry.operators.pairs import (array_pair_occurrences, expand_occurrences,
-                                      pair_occurrences, self_join_pair_occurrences)
+                                      pair_occurrences, self_join_pair_occurrences,
+                                      triple_occurrences)
 from basketry.plans.pcy import pcy_candidates, pcy_pass
 from tests import brute
 from tests.conftest import arrays_df, lines_df
@@ -137,7 +138,35 @@ def test_pcy_pass_n2(spark):
         {k: v for k, v in g3.items() if v > 1}
     assert groups3.count() == sum(len(brute.groups(b, 3)) for b in baskets.values())
     with pytest.raises(ValueError):
-        pcy_pass(lines_df(spark, baskets), 2, 1)
+        pcy_pass(lines_df(spark, baskets), 3, 1)
+
+
+def test_pcy_pass_2_lines_equals_arrays(spark):
+    baskets = _random_baskets(16, max_item=5)
+    a = pcy_pass(arrays_df(spark, baskets), 2, 1)
+    b = pcy_pass(lines_df(spark, baskets), 2, 1)
+    for x, y in zip(a[:2], b[:2]):
+        assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+    key = lambda r: (r.order_id, tuple(r.group))
+    assert sorted(map(key, a[2].collect())) == sorted(map(key, b[2].collect()))
+
+
+def _triples(df):
+    return sorted((r.order_id, r.item1, r.item2, r.item3) for r in expand_occurrences(
+        df, ("order_id", "item1", "item2", "item3")).collect())
+
+
+def test_triples_on_lines_agree_with_brute_force(spark):
+    # few distinct items, so baskets repeat items often (self triples and runs)
+    baskets = _random_baskets(17, max_item=4, big=60)
+    baskets[1000] = [3, 3, 3, 3, 3]
+    baskets[1001] = [2, 3, 4, 5]
+    lines = lines_df(spark, baskets)
+    expect = sorted((oid, *g) for oid, b in baskets.items() for g in brute.groups(b, 3))
+    assert _triples(triple_occurrences(lines)) == expect
+    assert _triples(triple_occurrences(lines, None)) == expect
+    # blocked path for every basket above 3 distinct items
+    assert _triples(triple_occurrences(lines, block_size=3, sample_fraction=1.0)) == expect
 
 
 def test_pcy_pass_1_lines_equals_arrays(spark):
