@@ -25,7 +25,7 @@ from basketry.operators import counting as C
 from basketry.operators import recommend as R
 from basketry.operators.fpm import fp_growth, transaction_sets
 from basketry.operators.pages import extract_unique
-from basketry.operators.pairs import (array_pair_occurrences, expand_occurrences,
+from basketry.operators.pairs import (expand_occurrences, pair_occurrences,
                                       self_join_pair_occurrences, triple_occurrences)
 from basketry.plans.baskets import csv_basket_lines, order_baskets
 from basketry.plans.pcy import pcy_candidates, pcy_filtered_pairs, pcy_pass
@@ -162,7 +162,8 @@ def q_item_groups_1(spark, d):
 
 
 def q_item_groups_2(spark, d):
-    return expand_occurrences(array_pair_occurrences(_baskets(spark, d)))
+    # Arrays above the block size are paired through the blocked line join.
+    return expand_occurrences(pair_occurrences(_baskets(spark, d)))
 
 
 def q_item_groups_k(spark, d):
