@@ -77,8 +77,23 @@ def pair_count(baskets: DataFrame) -> DataFrame:
                      .cast("bigint").alias("pair_count"))
 
 
+def bucket_prefilter_pays(baskets: DataFrame, support: int,
+                          num_buckets: int = PAIR_BUCKETS) -> bool:
+    """Whether the PCY bucket filter can remove pairs at this data size.
+
+    ``P`` pair occurrences fall into ``num_buckets`` buckets, ``P / B`` per
+    bucket on average. Once that is above ``support + 1`` almost every bucket
+    is frequent and the filter removes almost nothing, while it costs a second
+    pass of pair generation; at large scale that is the normal case. ``P``
+    comes from ``pair_count`` in closed form (basket sizes only, no pairs), so
+    this runs one small aggregate job and brings one number to the driver.
+    """
+    total = pair_count(baskets).first()["pair_count"]
+    return total < num_buckets * (support + 1)
+
+
 def frequent_pairs(baskets: DataFrame, support: int, distinct_items: bool = False,
-                   bucket_prefilter: bool = True, num_buckets: int = PAIR_BUCKETS,
+                   bucket_prefilter: bool | str = True, num_buckets: int = PAIR_BUCKETS,
                    strategy: str = "auto",
                    block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Exact pair support ``(item1, item2, support)`` with support > ``support``.
@@ -88,7 +103,8 @@ def frequent_pairs(baskets: DataFrame, support: int, distinct_items: bool = Fals
     baskets instead. Two prunings cut the pairs before the big shuffle:
 
     * bucket prefilter (always exact): a pair's count is at most its bucket's
-      count, so pairs in infrequent buckets cannot pass;
+      count, so pairs in infrequent buckets cannot pass. ``"auto"`` uses it only
+      where ``bucket_prefilter_pays`` (typically small data or high support);
     * item prefilter (a-priori, only with ``distinct_items``): a pair's basket
       count is at most each item's basket count, so lines of infrequent items
       are dropped before any pair is made.
@@ -101,6 +117,10 @@ def frequent_pairs(baskets: DataFrame, support: int, distinct_items: bool = Fals
         pairs = pair_occurrences(lines, block_size)
     else:
         pairs = pair_occurrences(baskets, block_size)
+    if bucket_prefilter == "auto":
+        bucket_prefilter = support > 0 and bucket_prefilter_pays(baskets, support, num_buckets)
+    elif not isinstance(bucket_prefilter, bool):
+        raise ValueError(f"bucket_prefilter must be True, False or 'auto', got {bucket_prefilter!r}")
     if bucket_prefilter and support > 0:
         pairs = pair_buckets(pairs, num_buckets)
         buckets = prepare_side(frequent_buckets(pairs, support), "bucket", strategy,

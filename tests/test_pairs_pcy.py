@@ -4,8 +4,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from basketry.operators.counting import (frequent_buckets, frequent_items, frequent_pairs,
-                                         pair_count)
+from basketry.operators.counting import (bucket_prefilter_pays, frequent_buckets,
+                                         frequent_items, frequent_pairs, pair_count)
 from basketry.operators.pairs import (array_pair_occurrences, expand_occurrences,
                                       pair_occurrences, self_join_pair_occurrences,
                                       triple_occurrences)
@@ -218,3 +218,21 @@ def test_third_of_all_lines_in_one_basket(spark):
     total = frequent_pairs(skewed, 0, block_size=32).agg(F.sum("support")).first()[0]
     assert total == expect
     assert pcy_candidates(skewed, 0, item_mod=None, block_size=32).count() == expect
+
+
+def test_bucket_prefilter_auto(spark):
+    baskets = _random_baskets(18, max_item=12)
+    lines = lines_df(spark, baskets)
+    n_pairs = sum(len(brute.groups(b, 2)) for b in baskets.values())
+    # few pairs per bucket: the filter pays; more pairs than buckets x (s + 1): it does not
+    assert bucket_prefilter_pays(lines, 1)
+    assert not bucket_prefilter_pays(lines, 1, num_buckets=n_pairs // 2)
+    expect = brute.frequent_pairs(baskets, 1)
+    for mode in ("auto", True, False):
+        got = sorted(map(tuple, frequent_pairs(lines, 1, bucket_prefilter=mode).collect()))
+        assert got == expect
+    got = sorted(map(tuple, frequent_pairs(lines, 1, bucket_prefilter="auto",
+                                           num_buckets=7).collect()))
+    assert got == expect
+    with pytest.raises(ValueError):
+        frequent_pairs(lines, 1, bucket_prefilter="yes")
