@@ -24,8 +24,12 @@ def respond(requests: DataFrame, recs: DataFrame, catalog: DataFrame, k: int = 5
                 .join(cat.withColumnRenamed("product_id", "rec_id"), "rec_id"))
     grouped = partners.groupBy("product_id").agg(
         F.array_sort(F.collect_list(F.struct("rec_id", "description", "image"))).alias("_p"))
-    known = cat.withColumn("_known", F.lit(True))
-    joined = req.join(known, "product_id", "left").join(grouped, "product_id", "left")
+    # The catalog enters both joins with only its key renamed, so both read one
+    # exchange of it; a matched key marks a known product.
+    known = cat.withColumnRenamed("product_id", "_cid")
+    joined = (req.join(known, req["product_id"] == known["_cid"], "left")
+              .withColumn("_known", F.col("_cid").isNotNull()).drop("_cid")
+              .join(grouped, "product_id", "left"))
     own = F.struct(F.col("description").alias("description"), F.col("image").alias("image"))
     others = F.transform(F.coalesce(F.col("_p"), F.array()),
                          lambda p: F.struct(p["description"].alias("description"),
