@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontam, langid
+from basketry.llm import bpe, decontam, langid, minhash
 from basketry.llm.common import ship, table
 
 QUERIES: dict = {}
@@ -52,3 +52,9 @@ def op7_language(spark, sf_dir):
     """Cross-parsing language of every document."""
     return langid.identify(table(spark, sf_dir, "documents")).select(
         "doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op9_near_duplicates", minhash.COMPONENT_SQL)
+def op9_near_duplicates(spark, sf_dir):
+    """Near-duplicate components of all documents, 2-word shingles, similarity 0.8."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
