@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontam, langid, minhash
+from basketry.llm import bpe, decontam, langid, minhash, quality
 from basketry.llm.common import ship, table
 
 QUERIES: dict = {}
@@ -47,6 +47,13 @@ def op3_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.load(vocabulary_path()))
 
 
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    """Fixed quality rules and robust outliers per language and source over all documents."""
+    return quality.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op7_language")
 def op7_language(spark, sf_dir):
     """Cross-parsing language of every document."""
