@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontam, langid, minhash, quality
+from basketry.llm import bpe, decontam, langid, linededup, minhash, quality, urlfilter
 from basketry.llm.common import ship, table
 
 QUERIES: dict = {}
@@ -27,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_url_filter", urlfilter.URL_SQL)
+def op1_url_filter(spark, sf_dir):
+    """Every page against the dated block and allow lists active when it was fetched."""
+    return urlfilter.from_tables(spark, sf_dir)
+
+
 @query("op2_decontaminate", decontam.REPORT_SQL)
 def op2_decontaminate(spark, sf_dir):
     """Contamination report of every document against all benchmark items, window 13."""
@@ -65,3 +71,9 @@ def op7_language(spark, sf_dir):
 def op9_near_duplicates(spark, sf_dir):
     """Near-duplicate components of all documents, 2-word shingles, similarity 0.8."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query("op10_line_dedup", linededup.UNITS_SQL)
+def op10_line_dedup(spark, sf_dir):
+    """Repeated lines and sentences of all documents, earliest occurrence kept."""
+    return linededup.dedup_report(table(spark, sf_dir, "documents"))
