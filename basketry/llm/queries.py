@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontam, langid, linededup, minhash, quality, urlfilter
+from basketry.llm import bpe, decontam, langid, linededup, minhash, pii, quality, urlfilter
 from basketry.llm.common import ship, table
 
 QUERIES: dict = {}
@@ -77,3 +77,9 @@ def op9_near_duplicates(spark, sf_dir):
 def op10_line_dedup(spark, sf_dir):
     """Repeated lines and sentences of all documents, earliest occurrence kept."""
     return linededup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_personal_data")
+def op8_personal_data(spark, sf_dir):
+    """Personal data of all documents: base spans and those the trained classifier adds."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
