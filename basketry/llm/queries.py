@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontam, langid, linededup, minhash, pii, quality, urlfilter
+from basketry.llm import bpe, decontam, langid, linededup, lm, minhash, pii, quality, urlfilter
 from basketry.llm.common import ship, table
 
 QUERIES: dict = {}
@@ -53,6 +53,13 @@ def op3_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.load(vocabulary_path()))
 
 
+@query("op4_lm_score")
+def op4_lm_score(spark, sf_dir):
+    """Context-mixing and unigram scores of every document."""
+    return lm.score_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 @query("op5_quality")
 def op5_quality(spark, sf_dir):
     """Fixed quality rules and robust outliers per language and source over all documents."""
