@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontam, langid, linededup, lm, minhash, pii, quality, urlfilter
+from basketry.llm import bpe, decontam, langid, linededup, lm, minhash, pii, quality, suffixdedup, urlfilter
 from basketry.llm.common import ship, table
 
 QUERIES: dict = {}
@@ -67,6 +67,12 @@ def op5_quality(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op6_substring_dedup", suffixdedup.WINDOW_SQL)
+def op6_substring_dedup(spark, sf_dir):
+    """Bytes of all documents that 50-byte strings of smaller documents cover."""
+    return suffixdedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 @query("op7_language")
 def op7_language(spark, sf_dir):
     """Cross-parsing language of every document."""
