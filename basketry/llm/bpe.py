@@ -254,7 +254,9 @@ def round_trip(docs: DataFrame, bpe: Bpe, keep_ids: bool = False) -> DataFrame:
                        pa.array([sha(bpe.decode(i).encode("utf-8")) for i in ids], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns.append(pa.array([np.frombuffer(i, "<u4").tolist() for i in ids], pa.list_(pa.int32())))
+                ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                                        pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -92,3 +92,15 @@ def slices(batches, rows: int = SLICE_ROWS):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def with_rest(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): all other columns, whatever their names, as one struct."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(rest or [F.lit(0).alias("none")])).alias("rest"))
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, in their order, from doc_id, text and rest."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c)
+                       for c in docs.columns])

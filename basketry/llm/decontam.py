@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import slices, staged, texts_of
+from basketry.llm.common import restored, slices, staged, texts_of, with_rest
 
 #: Words of the lower-cased text, as bytes: runs of digits, letters and non-ASCII characters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -156,14 +156,15 @@ _HITS = "array<struct<first:int,end:int>>"
 
 def find_spans(docs: DataFrame, items: DataFrame, window: int = 13,
                block_words: int = 500_000) -> DataFrame:
-    """Add n_words, hits (merged spans of word positions) and item_ids to (doc_id, text).
+    """Add n_words, hits (merged spans of word positions) and item_ids to ``docs``, whose further
+    columns, if any, are in a struct ``rest``.
 
     Every row is kept, repeated rows and null ids too. Null or empty text has no words and no hits;
     an empty benchmark hits nothing. Items with the same text are all found; items without words are
-    never found. Columns other than doc_id and text are not carried.
+    never found.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"),
+    carry = [c for c in ("doc_id", "text", "rest") if c in docs.columns]
+    out = docs.select(*carry, F.lit(0).cast("long").alias("n_words"),
                       F.array().cast(_HITS).alias("hits"),
                       F.array().cast("array<string>").alias("item_ids"))
     for k, block in enumerate(item_blocks(items, block_words)):
@@ -185,13 +186,12 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = 13,
                     spans.append([{"first": a, "end": b} for a, b in merged(old + new)])
                     names.append(sorted({*ids, *found}))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text"), pa.array(counts, pa.int64()),
+                    [*map(part.column, carry), pa.array(counts, pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
                      pa.array(names, pa.list_(pa.string()))],
-                    names=["doc_id", "text", "n_words", "hits", "item_ids"])
+                    names=[*carry, "n_words", "hits", "item_ids"])
 
-        out = out.mapInArrow(run, f"doc_id {kind}, text string, n_words long, hits {_HITS}, "
-                                  "item_ids array<string>")
+        out = out.mapInArrow(run, out.schema)
     return out
 
 
@@ -209,15 +209,19 @@ def n_hit(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
 
 
+def contaminated(hit: Column, words: Column) -> Column:
+    return (hit > 0) & (20 * hit >= words)
+
+
 def report(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """Per row of ``docs``: n_words, n_hit, n_items, items_sha256 and the verdict ``contaminated``
     (at least one word of twenty is hit)."""
-    found = find_spans(docs, items, window).select("doc_id", "n_words", n_hit(F.col("hits")).alias("n_hit"),
+    found = find_spans(docs.select("doc_id", "text"), items, window).select("doc_id", "n_words", n_hit(F.col("hits")).alias("n_hit"),
                                                    "hits", "item_ids")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
         "hits")
 
 
@@ -238,7 +242,7 @@ def cut_spans(text: str | None, spans: list[tuple[int, int]], min_words: int = 1
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, max_share: float = 0.05) -> DataFrame:
     """(doc_id, text, hits, dropped, clean_text): drop a document whose hit share reaches
     ``max_share`` (clean_text null), else remove its hit spans of at least a window."""
-    found = find_spans(docs, items, window).select("doc_id", "text", "hits", "n_words")
+    found = find_spans(docs.select("doc_id", "text"), items, window).drop("item_ids")
     share = n_hit(F.col("hits"))
     dropped = (share > 0) & (share >= F.col("n_words") * max_share)
     cut = F.udf(lambda t, s: cut_spans(t, [(x["first"], x["end"]) for x in s], window), "string")
@@ -248,6 +252,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, max_share
                         .otherwise(cut("text", "hits")).alias("clean_text"))
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+    """The rows of ``docs``, all columns, of which less than one word of twenty is hit."""
+    found = find_spans(with_rest(docs), items, window)
+    return restored(found.filter(~contaminated(n_hit(F.col("hits")), F.col("n_words"))), docs)
+
+
 #: DuckDB SQL for ``op2_decontaminate``: every window as an array of words, joined by equality.
 REPORT_SQL = r"""
 WITH d AS (SELECT doc_id, rowid_ AS r, w FROM (SELECT doc_id, row_number() OVER () AS rowid_,

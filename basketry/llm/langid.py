@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from basketry.llm.common import id_bucket, slices
+from basketry.llm.common import id_bucket, restored, slices, with_rest
 
 PIECE = 256
 FLAG = 1 << 30
@@ -178,16 +179,13 @@ def fit(sample: DataFrame, train_chars: int = 160_000) -> CrossParser:
 
 
 def classify(docs: DataFrame, parser: CrossParser) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, bits_per_char) of every row, duplicates included.
+    """Add lang_pred, score and bits_per_char to every row of ``docs``, duplicates included.
 
-    ``docs`` has doc_id, text and held_out. Null text, text without a letter, or no labelled
+    ``docs`` has text, and other columns that are carried. Null text, text without a letter, or no labelled
     language gives ``und`` with score 0. The score is the runner-up's share of the two fewest
     phrase counts, 0.5 (a tie, taken by the first language in order) to 1.
     """
     model = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by train_chars
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "held_out", "text")
-
     def run(batches):
         cp = model.value
         bits = np.array(cp.log_len)[:, None]
@@ -213,17 +211,28 @@ def classify(docs: DataFrame, parser: CrossParser) -> DataFrame:
                     scores.append(float(second[k] / max(first[k] + second[k], 1e-9)))
                     rates.append(float(first[k] / n_chars[k]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()),
-                 pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score", "bits_per_char"])
+                [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                 pa.array(rates, pa.float64())],
+                names=[*part.schema.names, "lang_pred", "score", "bits_per_char"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType()), T.StructField("bits_per_char", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, "
-                                "bits_per_char double")
+
+def learn(docs: DataFrame, train_chars: int) -> tuple[CrossParser, Column]:
+    """The parser learned from labelled rows outside the held-out quarter, and the held-out test."""
+    held = id_bucket(F.col("doc_id"), 4) == 2
+    return fit(labelled_sample(docs.select("doc_id", "text", "lang"), ~held), train_chars), held
 
 
 def identify(docs: DataFrame, train_chars: int = 160_000) -> DataFrame:
     """Learn from rows with a label outside the held-out quarter and classify all rows of ``docs``."""
-    docs = docs.select("doc_id", "text", "lang")
-    held = id_bucket(F.col("doc_id"), 4) == 2
-    parser = fit(labelled_sample(docs, ~held), train_chars)
-    return classify(docs.select("doc_id", "text", held.alias("held_out")), parser)
+    parser, held = learn(docs, train_chars)
+    return classify(docs.select("doc_id", held.alias("held_out"), "text"), parser).drop("text")
+
+
+def determined(docs: DataFrame, train_chars: int = 160_000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told; texts without a letter go."""
+    parser, _ = learn(docs, train_chars)
+    return restored(classify(with_rest(docs), parser).filter(F.col("lang_pred") != UNDETERMINED), docs)

@@ -304,6 +304,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one document of each near-duplicate component,
+    the one of the smallest id, and one of rows that repeat an id and its text. Rows without an id
+    stay unless they are near a row with one."""
+    stay = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("stay")).distinct()
+    left = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("stay")), "left_semi")
+    return left.dropDuplicates(["doc_id", "text"])
+
+
 #: DuckDB SQL for ``op9_near_duplicates``: links counted over shared shingles, then reachability.
 COMPONENT_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),

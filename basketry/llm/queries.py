@@ -96,3 +96,11 @@ def op10_line_dedup(spark, sf_dir):
 def op8_personal_data(spark, sf_dir):
     """Personal data of all documents: base spans and those the trained classifier adds."""
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    """The corpus pipeline of the repository's top folder over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -429,10 +429,10 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False, block_bytes: int
         _cut(groups, keep_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
 
 
-#: DuckDB SQL for ``op6_substring_dedup``: every 50-byte window by its hex text.
+#: DuckDB SQL for ``op6_substring_dedup``: every 50-byte window by a 64-bit hash of its hex text.
 WINDOW_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(hex(encode(text)), '') AS h FROM documents),
-w AS (SELECT doc_id, r, s, substr(h, CAST(2 * s + 1 AS BIGINT), 100) AS x
+w AS (SELECT doc_id, r, s, hash(substr(h, CAST(2 * s + 1 AS BIGINT), 100)) AS x
       FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS s FROM d WHERE length(h) >= 100)),
 f AS (SELECT x, min(doc_id) AS first FROM w GROUP BY x HAVING count(*) > 1),
 g AS (SELECT r, s FROM w JOIN f USING (x) WHERE doc_id > first),
