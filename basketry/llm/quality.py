@@ -178,9 +178,9 @@ def quality(docs: DataFrame, min_group: int = 200, limit: float = LIMIT) -> Data
     docs = docs.select("doc_id", "text", "lang", "source")
     stats = staged(text_statistics(docs, "doc_id", "lang", "source"), "statistics")
     stats = grouped(stats.withColumn("base_failed", base_failed()), min_group)
-    stats = stats.withColumn("mean_length", F.col("word_chars") / F.col("n_words"))
+    stats = stats.withColumn("mean_length", F.try_divide("word_chars", "n_words"))
     middle = binned_quantile(stats.filter(~F.col("base_failed")), ["g"], "mean_length", 0.5, 1 / 64)
-    share = lambda c, of: F.sqrt(F.col(c) / F.col(of))
+    share = lambda c, of: F.sqrt(F.try_divide(c, of))
     stats = staged(stats.join(middle.withColumnRenamed("mean_length", "middle"), "g", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "g",
         ((F.col("mean_length") - F.col("middle")) * F.sqrt("n_words")).alias("v_length"),
