@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from basketry.functions.text import basket_line
+from basketry.session import materialized
 
 
 def is_array_baskets(df: DataFrame, items_col: str = "items") -> bool:
@@ -45,8 +46,11 @@ def build_baskets(lines: DataFrame, key: str = "order_id", item: str = "item",
 
 
 def min_basket(baskets: DataFrame, n: int) -> DataFrame:
-    """Keep baskets holding at least ``n`` items."""
-    return baskets.where(F.size("items") >= n)
+    """Keep baskets holding at least ``n`` items (arrays, or lines with no gathering)."""
+    if is_array_baskets(baskets):
+        return baskets.where(F.size("items") >= n)
+    big = baskets.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+    return baskets.join(big.select("order_id"), "order_id", "left_semi")
 
 
 def basket_concat(baskets: DataFrame, sep: str = " ") -> DataFrame:
@@ -63,10 +67,25 @@ def basket_lines(baskets: DataFrame, sep: str = " : ") -> DataFrame:
 def basket_items(lines: DataFrame) -> DataFrame:
     """Distinct items per basket with their multiplicity: ``(order_id, item, mult)``.
 
-    A plain two-key aggregate: partial counts are combined map-side, and one
-    large basket is spread over many tasks by the item part of the key.
+    Rows that have ``mult`` already pass through. The lines are dealt out by
+    both keys first, so a basket that holds a third of all lines is spread
+    over all tasks even where the join below has dealt them by order.
     """
-    return lines.groupBy("order_id", "item").agg(F.count(F.lit(1)).alias("mult"))
+    if "mult" in lines.columns:
+        return lines.select("order_id", "item", "mult")
+    return (lines.repartition("order_id", "item").groupBy("order_id", "item")
+            .agg(F.count(F.lit(1)).alias("mult")))
+
+
+def shared_items(baskets: DataFrame) -> DataFrame:
+    """The items of each basket, computed once for all branches of a plan.
+
+    Lines become ``(order_id, item, mult)`` written to shared scratch; basket
+    arrays are returned as they are (their pairs need no shuffle).
+    """
+    if is_array_baskets(baskets) or "mult" in baskets.columns:
+        return baskets
+    return materialized(basket_items(baskets), "basket-items")
 
 
 def _runs(df: DataFrame, key: str, item: str, order: Sequence[str],

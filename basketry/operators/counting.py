@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.groups import group_count
 from basketry.functions.hashes import PAIR_BUCKETS, hash_pair, hash_single
-from basketry.operators.baskets import as_lines, basket_items, is_array_baskets
+from basketry.operators.baskets import as_lines, basket_items, is_array_baskets, shared_items
 from basketry.operators.membership import keep_members, prepare_side
 from basketry.operators.pairs import DEFAULT_BLOCK_SIZE, pair_occurrences
 
@@ -45,9 +45,8 @@ def shared_item_counts(baskets: DataFrame, item_mod: int | None = None) -> DataF
     """``item_counts`` for plans that also make pairs from the same baskets.
 
     For lines the counts are summed from the per-basket multiplicities
-    ``(order_id, item, mult)`` that pair generation builds anyway, so both
-    read one shuffle of the lines instead of scanning and joining the order
-    tables twice. Arrays are counted directly (their pairs need no shuffle).
+    ``(order_id, item, mult)`` that pair generation reads too. Arrays are
+    counted directly (their pairs need no shuffle).
     """
     if is_array_baskets(baskets):
         return item_counts(baskets, item_mod)
@@ -72,7 +71,8 @@ def pair_count(baskets: DataFrame) -> DataFrame:
     if is_array_baskets(baskets):
         sizes = baskets.select(F.size("items").alias("size"))
     else:
-        sizes = baskets.groupBy("order_id").agg(F.count(F.lit(1)).alias("size"))
+        size = F.sum("mult") if "mult" in baskets.columns else F.count(F.lit(1))
+        sizes = baskets.groupBy("order_id").agg(size.alias("size"))
     return sizes.agg(F.coalesce(F.sum(group_count("size", 2)), F.lit(0))
                      .cast("bigint").alias("pair_count"))
 
@@ -93,7 +93,7 @@ def bucket_prefilter_pays(baskets: DataFrame, support: int,
 
 
 def frequent_pairs(baskets: DataFrame, support: int, distinct_items: bool = False,
-                   bucket_prefilter: bool | str = True, num_buckets: int = PAIR_BUCKETS,
+                   bucket_prefilter: bool | str = False, num_buckets: int = PAIR_BUCKETS,
                    strategy: str = "auto",
                    block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Exact pair support ``(item1, item2, support)`` with support > ``support``.
@@ -102,20 +102,21 @@ def frequent_pairs(baskets: DataFrame, support: int, distinct_items: bool = Fals
     per position pair (the reference's rule); ``distinct_items=True`` counts
     baskets instead. Two prunings cut the pairs before the big shuffle:
 
-    * bucket prefilter (always exact): a pair's count is at most its bucket's
-      count, so pairs in infrequent buckets cannot pass. ``"auto"`` uses it only
-      where ``bucket_prefilter_pays`` (typically small data or high support);
+    * bucket prefilter (always exact, off by default): a pair's count is at most
+      its bucket's count, so pairs in infrequent buckets cannot pass. It makes
+      the pairs twice. ``"auto"`` uses it only where ``bucket_prefilter_pays``;
     * item prefilter (a-priori, only with ``distinct_items``): a pair's basket
       count is at most each item's basket count, so lines of infrequent items
       are dropped before any pair is made.
     """
     if distinct_items:
-        lines = basket_items(as_lines(baskets)).select("order_id", "item")
+        lines = shared_items(as_lines(baskets)).withColumn("mult", F.lit(1).cast("bigint"))
         if support > 0:
             items = prepare_side(having_support(item_counts(lines), support), "item", strategy)
             lines = keep_members(lines, "item", items)
         pairs = pair_occurrences(lines, block_size)
     else:
+        baskets = shared_items(baskets)
         pairs = pair_occurrences(baskets, block_size)
     if bucket_prefilter == "auto":
         bucket_prefilter = support > 0 and bucket_prefilter_pays(baskets, support, num_buckets)

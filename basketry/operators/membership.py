@@ -13,7 +13,7 @@ Strategies:
   measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 * ``broadcast``: replicate the filter side, but only behind a size check: a
   proven static bound (e.g. the bucket count) or the row count of the side
-  written once to the checkpoint folder; above
+  written once to shared scratch; above
   ``max_broadcast_rows`` it falls back to the shuffled join.
 * ``shuffle``: shuffled hash join on both sides, for filter sides too big to
   replicate.
@@ -26,9 +26,10 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.session import ensure_checkpoint_dir
+from basketry.session import materialized
 
 STRATEGIES = ("auto", "broadcast", "shuffle")
+#: Keys that a filter side may have to be replicated, by default (``max_broadcast_rows``).
 MAX_BROADCAST_ROWS = 4_000_000
 
 log = logging.getLogger(__name__)
@@ -51,11 +52,9 @@ def prepare_side(keys: DataFrame, key_col: str, strategy: str, bound_rows: int |
         return F.broadcast(keys)
     if strategy == "auto":
         return keys
-    # No static bound: materialise it once in the shared checkpoint folder
-    # (lineage cut, so a lost executor does not recompute the scan) and count
-    # the written rows.
-    ensure_checkpoint_dir(keys.sparkSession)
-    keys = keys.checkpoint(eager=True)
+    # No static bound: write it once to shared scratch (a lost executor does not
+    # recompute it) and count the written rows.
+    keys = materialized(keys, "filter-side")
     n = keys.count()
     if n <= max_broadcast_rows:
         return F.broadcast(keys)

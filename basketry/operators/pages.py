@@ -5,13 +5,9 @@ there is exactly one, return its text (or the text of a descendant with
 ``text_class``) and the ``src`` of a descendant with ``img_class``; pages with
 zero or several matches give nothing.
 
-Two parsers:
-
-* ``regex`` (default): JVM regular expressions, for flat markup where the
-  element's text holds no tags. Stays in whole-stage codegen.
-* ``html``: the standard-library HTML parser in ``mapInPandas`` for nested
-  markup (descendant classes). Pages are parsed one by one inside each
-  partition; nothing is gathered.
+Pages are parsed with the standard-library HTML parser, one by one inside each
+partition (``mapInPandas``); pages that do not contain the class name at all
+are left out by a JVM filter first.
 """
 
 from __future__ import annotations
@@ -20,39 +16,25 @@ import html as html_lib
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Entities decoded in the regex path, '&amp;' last so '&amp;lt;' stays '&lt;'.
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-
-
-def class_element_pattern(element_class: str, tag: str = "div") -> str:
-    """Regex for ``<tag ... class="... element_class ...">text</tag>`` with flat text."""
-    cls = "".join("\\" + ch if not ch.isalnum() else ch for ch in element_class)
-    return (rf'<{tag}\s[^>]*class="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"[^>]*>([^<]*)</{tag}>')
-
-
-def unescape_basic(col: Column) -> Column:
-    for ent, ch in _ENTITIES:
-        col = F.replace(col, F.lit(ent), F.lit(ch))
-    return col
-
-
 def extract_unique(pages: DataFrame, element_class: str, text_class: str | None = None,
-                   img_class: str | None = None, tag: str = "div", parser: str = "regex",
+                   img_class: str | None = None, tag: str = "div",
                    id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(page_id, description, image)`` for pages with exactly one matching element."""
-    if parser == "html" or text_class or img_class:
-        return _extract_html(pages, element_class, text_class, img_class, tag, id_col, html_col)
-    if parser != "regex":
-        raise ValueError("parser must be 'regex' or 'html'")
-    found = F.regexp_extract_all(F.col(html_col), F.lit(class_element_pattern(element_class, tag)),
-                                 F.lit(1))
-    return (pages.select(F.col(id_col).alias("page_id"), found.alias("_m"))
-            .where(F.size("_m") == 1)
-            .select("page_id", unescape_basic(F.get("_m", 0)).alias("description"),
-                    F.lit(None).cast("string").alias("image")))
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for pid, doc in zip(pdf[id_col], pdf[html_col]):
+                got = parse_unique(doc, element_class, text_class, img_class, tag)
+                if got is not None:
+                    out.append((pid, got[0], got[1]))
+            yield pd.DataFrame(out, columns=["page_id", "description", "image"])
+
+    return (pages.where(F.col(html_col).contains(element_class))
+            .select(F.col(id_col).cast("bigint").alias(id_col), F.col(html_col))
+            .mapInPandas(run, "page_id BIGINT, description STRING, image STRING"))
 
 
 class _ClassFinder(HTMLParser):
@@ -110,17 +92,3 @@ def parse_unique(doc, element_class, text_class=None, img_class=None, tag="div")
         return None
     parts, image, _, _ = finder.found[0]
     return "".join(parts), (html_lib.unescape(image) if image else image)
-
-
-def _extract_html(pages, element_class, text_class, img_class, tag, id_col, html_col):
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for pid, doc in zip(pdf[id_col], pdf[html_col]):
-                got = parse_unique(doc, element_class, text_class, img_class, tag)
-                if got is not None:
-                    out.append((pid, got[0], got[1]))
-            yield pd.DataFrame(out, columns=["page_id", "description", "image"])
-
-    return (pages.select(F.col(id_col).cast("bigint").alias(id_col), F.col(html_col))
-            .mapInPandas(run, "page_id BIGINT, description STRING, image STRING"))

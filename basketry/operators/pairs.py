@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.groups import item_pairs
-from basketry.operators.baskets import basket_items, is_array_baskets
+from basketry.operators.baskets import basket_items, is_array_baskets, shared_items
+from basketry.session import materialized
 
 DEFAULT_BLOCK_SIZE = 4096
 DEFAULT_SAMPLE_FRACTION = 0.01
@@ -40,9 +41,7 @@ def hot_baskets(items: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
     The estimate counts a sample of the ``(order_id, item, mult)`` rows, so
     only a small fraction is shuffled. Rows are picked by a hash of their whole
     content, not by position, so a recomputed partition (after a lost executor)
-    picks the same rows and every basket keeps its path. Hashing ``mult`` too
-    keeps the sample above the per-item aggregate: it reads that aggregate's
-    shuffle output instead of scanning and joining the order lines again. The
+    picks the same rows and every basket keeps its path. The
     estimate only decides how a basket's pairs are split into tasks, never
     which pairs are produced: a basket it misses is paired by the plain join.
     """
@@ -78,14 +77,16 @@ def _item_pair_rows(lines: DataFrame, block_size: int | None,
     """``(order_id, item1, item2, _m1, _m2)``: each pair of distinct items of a
     basket with ``item1 <= item2`` (every item with itself too) and their
     multiplicities. Baskets flagged by ``hot_baskets`` take the blocked join."""
-    items = basket_items(lines)
     if block_size is None:
-        return _plain_pairs(items)
+        return _plain_pairs(basket_items(lines))
     if block_size < 1:
         raise ValueError("block_size must be >= 1")
-    tagged = items.join(hot_baskets(items, block_size, sample_fraction), "order_id", "left")
-    normal = tagged.where(F.col("_nb").isNull()).drop("_nb")
-    hot = tagged.where(F.col("_nb").isNotNull())
+    items = shared_items(lines)
+    hot_set = materialized(hot_baskets(items, block_size, sample_fraction), "hot-baskets")
+    if hot_set.isEmpty():
+        return _plain_pairs(items)
+    normal = items.join(hot_set, "order_id", "left_anti")
+    hot = items.join(hot_set, "order_id")
     return _plain_pairs(normal).unionByName(
         _blocked_pairs(hot).select("order_id", "item1", "item2", "_m1", "_m2"))
 
@@ -130,7 +131,8 @@ def triple_occurrences(lines: DataFrame, block_size: int | None = DEFAULT_BLOCK_
     ``(order_id, s, m_s)``, a key each successor row holds once. No step gathers a
     basket in one row, task or group.
     """
-    rows = _item_pair_rows(lines, block_size, sample_fraction)
+    # the pair rows feed four cases, so they are made once
+    rows = materialized(_item_pair_rows(lines, block_size, sample_fraction), "pair-rows")
     pairs = rows.where(F.col("item1") < F.col("item2"))
     later = F.when(F.col("item2") > F.col("item1"),
                    F.struct(F.col("item2").alias("s"), F.col("_m2").alias("ms")))
@@ -178,8 +180,24 @@ def pair_occurrences(df: DataFrame, block_size: int | None = DEFAULT_BLOCK_SIZE)
     return small.unionByName(self_join_pair_occurrences(big_lines, block_size))
 
 
+#: Occurrences that one generated step stands for.
+EXPAND_STEP = 1 << 16
+
+
 def expand_occurrences(pairs: DataFrame, cols=("order_id", "item1", "item2")) -> DataFrame:
-    """One row per pair occurrence (``n`` copies), as the reference's pair RDD holds."""
-    return (pairs.select(*cols, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))
-                         .alias("_k"))
-            .drop("_k"))
+    """One row per pair occurrence (``n`` copies), as the reference's pair RDD holds.
+
+    A count is first cut into steps of ``EXPAND_STEP``, then each step is
+    expanded, so no row ever holds an array of all its copies.
+    """
+    return (occurrence_steps(pairs, cols)
+            .select(*cols, F.explode(F.sequence(F.lit(1), F.col("_step"))).alias("_k")).drop("_k"))
+
+
+def occurrence_steps(pairs: DataFrame, cols) -> DataFrame:
+    """``(cols, _step)``: rows whose ``_step`` (at most ``EXPAND_STEP``) add up to ``n``."""
+    last = F.shiftright(F.col("n") - 1, 16)
+    return (pairs.where(F.col("n") > 0)
+            .select(*cols, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_s"))
+            .select(*cols, F.least(F.lit(EXPAND_STEP).cast("bigint"),
+                                   F.col("n") - F.col("_s") * EXPAND_STEP).cast("int").alias("_step")))

@@ -6,10 +6,13 @@ counting pass (so bucket collisions give false positives and a pair repeats
 once per basket). ``basketry.operators.counting.frequent_pairs`` adds the
 exact count.
 
-Plan: one scan of the baskets feeds three aggregates (item counts, bucket
-counts, and the pairs) and three semi joins; there is no ``collect``. Item
-and bucket counts are partial aggregates; the bucket filter has at most
-``num_buckets`` keys, a proven bound, so it may be broadcast.
+Plan: the items of each basket are computed once and written to shared
+scratch. From them come the item counts, the bucket counts (which need all
+pairs) and the output pairs, which are made from frequent items alone, since
+both items of a candidate must be frequent. The bucket filter has at most
+``num_buckets`` keys, a proven bound, so it may be broadcast. ``item_mod``
+reproduces the reference's single hash, which merges ids that agree modulo it;
+``None`` (the default) counts items as they are.
 """
 
 from __future__ import annotations
@@ -21,38 +24,46 @@ from pyspark.sql import functions as F
 
 from basketry.functions.groups import check_group_size, item_groups
 from basketry.functions.hashes import PAIR_BUCKETS, SINGLE_MOD, hash_group, hash_single_group
-from basketry.operators.baskets import is_array_baskets
+from basketry.operators.baskets import is_array_baskets, shared_items
 from basketry.operators.counting import (bucket_counts, frequent_buckets, having_support,
-                                         item_counts, pair_buckets, shared_item_counts)
+                                         pair_buckets, shared_item_counts)
 from basketry.operators.membership import check_strategy, keep_members, prepare_side
 from basketry.operators.pairs import (DEFAULT_BLOCK_SIZE, expand_occurrences, pair_occurrences,
                                       triple_occurrences)
 
 
 def pcy_filtered_pairs(baskets: DataFrame, support: int, num_buckets: int = PAIR_BUCKETS,
-                       item_mod: int | None = SINGLE_MOD, strategy: str = "auto",
+                       item_mod: int | None = None, strategy: str = "auto",
                        block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Candidate pairs with multiplicity: ``(order_id, item1, item2, n, bucket)``."""
     check_strategy(strategy)
-    pairs = pair_buckets(pair_occurrences(baskets, block_size), num_buckets)
-    # Under "broadcast" the item side is counted in a job of its own before the
-    # main query (to check its size), so it is counted straight from the
-    # lines; otherwise it shares the per-basket aggregate with the pairs.
-    counts = (item_counts(baskets, item_mod) if strategy == "broadcast"
-              else shared_item_counts(baskets, item_mod))
-    items = having_support(counts, support)
+    baskets = shared_items(baskets)
+    items = having_support(shared_item_counts(baskets, item_mod), support)
+    all_pairs = pair_buckets(pair_occurrences(baskets, block_size), num_buckets)
+    return filtered_by(baskets, items, frequent_buckets(all_pairs, support), num_buckets, item_mod,
+                       strategy, block_size)
+
+
+def filtered_by(baskets: DataFrame, items: DataFrame, buckets: DataFrame,
+                num_buckets: int = PAIR_BUCKETS, item_mod: int | None = None,
+                strategy: str = "auto", block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """Pairs of ``baskets`` whose items are in ``items.item`` and whose bucket is in
+    ``buckets.bucket``: given tables, for example ones saved by an earlier run."""
     # With item_mod the frequent keys are hashes compared with raw items (the
     # reference's rule): at most item_mod of them.
-    items = prepare_side(items, "item", strategy, bound_rows=item_mod)
-    buckets = prepare_side(frequent_buckets(pairs, support), "bucket", strategy,
-                           bound_rows=num_buckets)
-    out = keep_members(pairs, "bucket", buckets)
-    out = keep_members(out, "item1", items)
-    return keep_members(out, "item2", items)
+    side = prepare_side(items, "item", strategy, bound_rows=item_mod)
+    bucket_side = prepare_side(buckets, "bucket", strategy, bound_rows=num_buckets)
+    if is_array_baskets(baskets):
+        pairs = pair_buckets(pair_occurrences(baskets, block_size), num_buckets)
+        pairs = keep_members(keep_members(pairs, "item1", side), "item2", side)
+    else:
+        kept = keep_members(shared_items(baskets), "item", side)
+        pairs = pair_buckets(pair_occurrences(kept, block_size), num_buckets)
+    return keep_members(pairs, "bucket", bucket_side)
 
 
 def pcy_candidates(baskets: DataFrame, support: int, num_buckets: int = PAIR_BUCKETS,
-                   item_mod: int | None = SINGLE_MOD, strategy: str = "auto",
+                   item_mod: int | None = None, strategy: str = "auto",
                    block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """The reference's frequent-pair rows ``(order_id, item1, item2)``.
 
@@ -85,9 +96,10 @@ def pcy_pass(baskets: DataFrame, n: int, support: int,
         # Lines: groups come from the skew-safe self-join with multiplicities
         # (pairs), and for n = 2 from the pair-based triples; each group row
         # carries its occurrence count ``n``, so counts are weighted sums.
+        baskets = shared_items(baskets)
         if n == 1:
             frequent_n = having_support(
-                bucket_counts(baskets, hash_n(F.array(F.col("item")))), support)
+                bucket_counts(baskets, hash_n(F.array(F.col("item"))), "mult"), support)
             upper = pair_occurrences(baskets)
             cols = ["item1", "item2"]
         else:

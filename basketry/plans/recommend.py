@@ -13,7 +13,7 @@ def respond(requests: DataFrame, recs: DataFrame, catalog: DataFrame, k: int = 5
 
     The response lists ``{description, image}`` objects: the requested product
     first, then its partners (up to ``k`` per direction, ordered by id) that the
-    catalog knows. A product missing from the catalog gets ``''``.
+    catalog knows; a field the catalog has no value for is null. A product missing from the catalog gets ``''``.
 
     Every partner list is bounded by ``2k``, so the per-request grouping stays
     small; the catalog joins are ordinary joins the planner sizes itself.
@@ -34,6 +34,6 @@ def respond(requests: DataFrame, recs: DataFrame, catalog: DataFrame, k: int = 5
     others = F.transform(F.coalesce(F.col("_p"), F.array()),
                          lambda p: F.struct(p["description"].alias("description"),
                                             p["image"].alias("image")))
-    body = F.to_json(F.concat(F.array(own), others))
+    body = F.to_json(F.concat(F.array(own), others), {"ignoreNullFields": "false"})
     return joined.select("product_id",
                          F.when(F.col("_known"), body).otherwise(F.lit("")).alias("response"))

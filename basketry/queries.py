@@ -17,8 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.groups import item_groups
-from basketry.functions.hashes import (hash_pair, hash_pair_25, hash_pair_1000,
+from basketry.functions.hashes import (SINGLE_MOD, hash_pair, hash_pair_25, hash_pair_1000,
                                        hash_single_group)
 from basketry.operators import baskets as B
 from basketry.operators import counting as C
@@ -27,8 +26,8 @@ from basketry.operators.fpm import fp_growth, transaction_sets
 from basketry.operators.pages import extract_unique
 from basketry.operators.pairs import (expand_occurrences, pair_occurrences,
                                       self_join_pair_occurrences, triple_occurrences)
-from basketry.plans.baskets import csv_basket_lines, order_baskets
-from basketry.plans.pcy import pcy_candidates, pcy_filtered_pairs, pcy_pass
+from basketry.plans.baskets import csv_basket_lines, csv_basket_runs, order_baskets
+from basketry.plans.pcy import filtered_by, pcy_candidates, pcy_filtered_pairs, pcy_pass
 from basketry.plans.probe import coprime_multiplier, probe_hits
 from basketry.plans.recommend import respond
 from basketry.session import scratch_path
@@ -49,7 +48,7 @@ PROBE_ITEM_SUPPORT = 25
 PROBE_BUCKET_SUPPORT = 120
 PROBE_MULTIPLIER = 719
 PROBE_OFFSET = 13
-RUN_CHUNK_ROWS = 1 << 20
+RUN_CHUNK_ROWS = 1000    # small, so that runs cross chunks at any scale
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -138,7 +137,7 @@ def q_basket_lines_csv(spark, d):
 
 
 def q_min_basket(spark, d):
-    return B.basket_concat(B.min_basket(_baskets(spark, d), 2))
+    return B.min_basket(_lines(spark, d), 2)
 
 
 def q_basket_runs(spark, d):
@@ -156,14 +155,11 @@ def q_order_baskets(spark, d):
 
 # ---------------------------------------------------------------- groups, hashes
 def q_item_groups_1(spark, d):
-    b = _baskets(spark, d)
-    return b.select("order_id", F.explode(item_groups("items", 1)).alias("g")).select(
-        "order_id", F.col("g")[0].alias("item"))
+    return B.as_lines(_lines(spark, d))
 
 
 def q_item_groups_2(spark, d):
-    # Arrays above the block size are paired through the blocked line join.
-    return expand_occurrences(pair_occurrences(_baskets(spark, d)))
+    return expand_occurrences(pair_occurrences(_lines(spark, d)))
 
 
 def q_item_groups_k(spark, d):
@@ -223,11 +219,27 @@ def q_frequent_pairs_distinct(spark, d):
 
 
 def q_pcy_candidates(spark, d):
-    return pcy_candidates(_lines(spark, d), CANDIDATE_SUPPORT, strategy="broadcast")
+    return pcy_candidates(_lines(spark, d), CANDIDATE_SUPPORT, item_mod=SINGLE_MOD,
+                          strategy="broadcast")
+
+
+def q_pcy_candidates_raw(spark, d):
+    return pcy_candidates(_lines(spark, d), CANDIDATE_SUPPORT)
+
+
+def q_pcy_candidates_store(spark, d):
+    """Both filters saved as tables by one run and read back by another."""
+    items = save_frequent_items(C.frequent_items(_lines(spark, d), CANDIDATE_SUPPORT),
+                                scratch_path(spark, "store_items"))
+    bitmap = save_bitmap(C.frequent_buckets(self_join_pair_occurrences(_lines(spark, d)),
+                                            CANDIDATE_SUPPORT), scratch_path(spark, "store_bitmap"))
+    pairs = filtered_by(_lines(spark, d), spark.read.parquet(items), spark.read.parquet(bitmap))
+    return expand_occurrences(pairs)
 
 
 def q_pcy_candidates_shuffle(spark, d):
-    return pcy_candidates(_lines(spark, d), PAIR_SUPPORT, strategy="shuffle")
+    return pcy_candidates(_lines(spark, d), PAIR_SUPPORT, item_mod=SINGLE_MOD,
+                          strategy="shuffle")
 
 
 def q_distinct_keys(spark, d):
@@ -239,6 +251,50 @@ def q_pcy_pass_n(spark, d):
     return bitmap
 
 
+def q_pcy_pass_frequent(spark, d):
+    frequent, _, _ = pcy_pass(_lines(spark, d), 2, PAIR_SUPPORT)
+    return frequent
+
+
+def q_pcy_pass_groups(spark, d):
+    _, _, groups = pcy_pass(_lines(spark, d), 1, PAIR_SUPPORT)
+    return groups.select("order_id", F.col("group")[0].alias("item1"), F.col("group")[1].alias("item2"))
+
+
+def q_csv_basket_runs(spark, d):
+    """CSV rows written in order of order and item, so each basket is one run of rows."""
+    rows = _lines(spark, d).select("order_id", F.lit("x").alias("a"), F.lit("y").alias("b"), "item")
+    path = scratch_path(spark, "csv_runs")
+    rows.repartitionByRange("order_id").sortWithinPartitions("order_id", "item").write.csv(path)
+    runs = csv_basket_runs(spark, path, item_type="bigint")
+    return runs.select(F.col("key").cast("bigint").alias("order_id"),
+                       F.col("n_items").cast("bigint").alias("n_items"), _joined(F.col("items")).alias("items"))
+
+
+def q_basket_parse_permissive(spark, d):
+    """Every third basket line is broken (no colon, or a word among the items) and dropped."""
+    lines = B.basket_lines(_baskets(spark, d))
+    key = F.split("line", " : ")[0].cast("bigint")
+    broken = lines.select(F.when(key % 3 == 1, F.replace("line", F.lit(" : "), F.lit(" ")))
+                          .when(key % 3 == 2, F.concat("line", F.lit(" x")))
+                          .otherwise(F.col("line")).alias("value"))
+    path = scratch_path(spark, "permissive")
+    broken.write.text(path)
+    return B.as_lines(read_baskets(spark, path, "permissive", key_type="bigint"))
+
+
+def q_write_baskets_csv(spark, d):
+    path = write_baskets(_baskets(spark, d), scratch_path(spark, "baskets_tight"), sep=":", n_files=2)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def q_rec_upsert_merge(spark, d):
+    """Partners of high support merged into the table that an earlier run kept of all."""
+    recs = _recs(spark, d)
+    before = R.upsert_recommendations(recs)
+    return R.upsert_recommendations(recs.where(F.col("support") > CANDIDATE_SUPPORT), before)
+
+
 def q_fp_growth(spark, d):
     lines = _lines(spark, d).join(
         _t(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_type"), "item")
@@ -298,6 +354,7 @@ def q_recs_preview(spark, d):
 # ---------------------------------------------------------------- probe, pages
 def q_probe_random_pairs(spark, d):
     lines = _lines(spark, d)
+    lines = B.shared_items(lines)
     items = C.having_support(C.shared_item_counts(lines), PROBE_ITEM_SUPPORT)
     pairs = self_join_pair_occurrences(lines)
     buckets = C.having_support(
@@ -308,7 +365,7 @@ def q_probe_random_pairs(spark, d):
 
 
 def q_page_extract(spark, d):
-    return extract_unique(_t(spark, d, "pages"), "ad").select("page_id", "description")
+    return extract_unique(_t(spark, d, "pages"), "ad")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -371,8 +428,7 @@ ORACLE_SQL: dict[str, str] = {
     "order_baskets": _with(_BP) + (
         f"SELECT concat(order_id, ' : ', {_BASKET_STR}) AS line FROM bp GROUP BY order_id"),
     "min_basket": _with(_BP) + (
-        f"SELECT order_id, {_BASKET_STR} AS items FROM bp GROUP BY order_id "
-        "HAVING count(*) >= 2"),
+        "SELECT order_id, item FROM bp QUALIFY count(*) OVER (PARTITION BY order_id) >= 2"),
     "basket_runs": (
         "WITH e AS (SELECT event_id, user_id, event_type, CASE WHEN lag(user_id) OVER "
         "(ORDER BY event_id) IS DISTINCT FROM user_id THEN 1 ELSE 0 END AS brk FROM events), "
@@ -495,10 +551,24 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT (SELECT n FROM n) AS probes, count(*) AS hits FROM pp "
         "WHERE i IN (SELECT item FROM it) AND j IN (SELECT item FROM it) "
         "AND ((i % 1000) * (j % 1000)) % 1000 IN (SELECT bucket FROM bk)"),
+    # by splitting at the tags, with no pattern; entities as the pages use them
     "page_extract": (
-        "SELECT page_id, replace(replace(replace(replace(replace(m[1], '&lt;', '<'), "
-        "'&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS description FROM "
-        "(SELECT page_id, regexp_extract_all(html, "
-        "'<div\\s[^>]*class=\"(?:[^\"]*\\s)?ad(?:\\s[^\"]*)?\"[^>]*>([^<]*)</div>', 1) AS m "
-        "FROM pages) WHERE len(m) = 1"),
+        "WITH p AS (SELECT page_id, string_split(html, '<div class=\"ad\">') AS s FROM pages) "
+        "SELECT page_id, replace(replace(replace(replace(replace(string_split(s[2], '</div>')[1], "
+        "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&') AS description, "
+        "CAST(NULL AS VARCHAR) AS image FROM p WHERE len(s) = 2"),
 }
+ORACLE_SQL["pcy_candidates_raw"] = ORACLE_SQL["pcy_candidates"].replace("item % 100000000 AS k", "item AS k")
+ORACLE_SQL["pcy_candidates_store"] = ORACLE_SQL["pcy_candidates_raw"]
+ORACLE_SQL["write_baskets_csv"] = ORACLE_SQL["basket_lines_csv"]
+ORACLE_SQL["csv_basket_runs"] = _with(_BP) + (
+    f"SELECT order_id, count(*) AS n_items, {_BASKET_STR} AS items FROM bp GROUP BY order_id "
+    "HAVING count(*) >= 2")
+ORACLE_SQL["basket_parse_permissive"] = _with(_BP) + "SELECT order_id, item FROM bp WHERE order_id % 3 = 0"
+ORACLE_SQL["pcy_pass_frequent"] = _pairs_sql() + (
+    "SELECT (item1 % 100000000) * (item2 % 100000000) % 100000000 AS bucket, count(*) AS support "
+    f"FROM pairs GROUP BY 1 HAVING count(*) > {PAIR_SUPPORT}")
+ORACLE_SQL["pcy_pass_groups"] = _pairs_sql() + "SELECT order_id, item1, item2 FROM pairs"
+ORACLE_SQL["rec_upsert_merge"] = _pairs_sql(_FP.format(s=PAIR_SUPPORT), _RECS) + (
+    "SELECT product_id, rec_id, support FROM (SELECT *, row_number() OVER (PARTITION BY product_id "
+    f"ORDER BY support > {CANDIDATE_SUPPORT} DESC, support DESC, rec_id) AS k FROM recs) WHERE k = 1")

@@ -10,26 +10,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
-
-# Settings the plans rely on. AQE re-plans joins from measured sizes (a semi
-# join against a small filter table becomes a broadcast join at run time) and
-# splits skewed partitions of sort-merge joins.
-#
-# Constraint propagation is off: the pair plans read one shuffle of the order
-# lines from several branches (item counts, bucket counts, the pair join), and
-# the not-null filters it infers from each semi join differ per branch. Pushed
-# down into the scans, they make the branches' subplans unequal, so Spark can
-# no longer reuse the exchange and scans and joins the order tables once per
-# branch. It changes no result, and it also cuts optimizer time on these
-# plans.
+from pyspark.sql import DataFrame, SparkSession
+
+# Recommended for a session of one's own; no operator depends on them. AQE re-plans joins from
+# measured sizes and splits skewed partitions of sort-merge joins.
 RECOMMENDED_SQL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 RECOMMENDED_CONF = {**RECOMMENDED_SQL_CONF, "spark.ui.enabled": "false"}
 
@@ -52,31 +42,68 @@ def get_session(app_name: str = "basketry", master: str | None = None,
     return spark
 
 
-def apply_plan_settings(spark: SparkSession) -> None:
-    """Set the session-level SQL settings above on an existing session."""
-    for key, value in RECOMMENDED_SQL_CONF.items():
-        spark.conf.set(key, value)
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once an application.
+
+    A job submitted with ``--py-files`` or an installed package doesn't need it.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="basketry-py-"), "basketry-package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in (n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder.
+    """The folder for intermediate data that the driver and all executors share.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local runs, tests) a private folder is created.
+    ``spark.checkpoint.dir`` names it. Only a local session may leave it unset
+    (tests): on a cluster a machine's own temporary folder is not seen by the
+    other machines, so its absence is an error there.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="basketry-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="basketry-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base
+
+
+def scratch_root(spark: SparkSession) -> str:
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/basketry-scratch-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for intermediate files."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "basketry-scratch", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path under the shared folder for intermediate files."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate files, once results are saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to shared scratch and read back.
+
+    The branches of a plan then read files that outlive any executor, instead
+    of running the plan below once each.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

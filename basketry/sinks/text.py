@@ -18,11 +18,12 @@ def write_baskets(baskets: DataFrame, path: str, sep: str = " : ",
                   n_files: int | None = None) -> str:
     """K2 (``sep=' : '``) / K3 (``sep=':'``): one ``key<sep>i1 i2`` line per basket.
 
-    Files are written in parallel, one per partition; ``n_files`` merges
-    partitions first (``n_files=1`` gives the reference's single file).
+    Files are written in parallel, one per partition; ``n_files`` deals the
+    finished lines out first (``n_files=1`` gives the reference's single file),
+    so the aggregate below keeps its own tasks.
     """
     lines = basket_lines(baskets, sep).withColumnRenamed("line", "value")
     if n_files:
-        lines = lines.coalesce(n_files)
+        lines = lines.repartition(n_files)
     lines.write.mode("overwrite").text(path)
     return path

@@ -35,13 +35,12 @@ def order_lines(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> Data
     One row per order line; an item ordered twice in one order gives two rows.
     Only the two key columns are read from the scans. Join strategies are left
     to the planner and AQE: each side is broadcast only when its measured size
-    is under the broadcast threshold, otherwise it is sort-merge joined. The
-    join on ``order_id`` comes last so that, when it is a sort-merge join, its
-    output is already hash-partitioned by ``order_id``: the per-basket
-    aggregate and the pair self-join downstream then need no further shuffle.
+    is under the broadcast threshold, otherwise it is sort-merge joined, and a
+    partition skewed by one large order is split. Lines without a key are
+    dropped before any shuffle.
     """
     o = orders.select(F.col("o_orderkey").alias("order_id"))
-    li = lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("item"))
+    li = lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("item")).dropna()
     p = part.select(F.col("p_partkey").alias("item"))
     return li.join(p, "item").join(o, "order_id").select("order_id", "item")
 

@@ -42,10 +42,13 @@ def read_order_csv(spark: SparkSession, path: str, key_col: int = 0, item_col: i
     ``with_order`` the columns ``_file, _block, _row`` give the file order of
     each row (file path, split start, row position inside the split), which the
     consecutive-run builder needs; the ids are assigned in the scan stage, so
-    a recomputed split gets the same ones.
+    a recomputed split gets the same ones. Files are ordered by path text.
     """
-    raw = spark.read.option("header", str(header).lower()).csv(path)
-    cols = raw.columns
+    cols = [f"c{i}" for i in range(max(key_col, item_col) + 1)]
+    # An explicit schema: nothing is inferred from the first row, and a row that
+    # is too short has nulls.
+    raw = (spark.read.option("header", str(header).lower()).option("enforceSchema", "true")
+           .schema(", ".join(f"{c} STRING" for c in cols)).csv(path))
     out = [F.col(cols[key_col]).alias("order_id"),
            F.col(cols[item_col]).cast(item_type).alias("item")]
     if with_order:

@@ -90,7 +90,7 @@ def test_bucket_collision_gives_false_positive(spark):
 def test_large_item_ids_never_pass_with_item_mod(spark):
     big = 100000000 + 3
     baskets = {i: [3, big] for i in range(5)}
-    assert pcy_candidates(lines_df(spark, baskets), 0).count() == 0
+    assert pcy_candidates(lines_df(spark, baskets), 0, item_mod=100000000).count() == 0
     assert pcy_candidates(lines_df(spark, baskets), 0, item_mod=None).count() == 5
 
 

@@ -5,6 +5,7 @@ from basketry.operators.recommend import (lookup, rec_union, recs_preview, top_p
                                           upsert_recommendations)
 from basketry.plans.recommend import respond
 from basketry.sources.seed import seed_recommendations, seed_requests
+from basketry.session import ship_package
 
 
 def test_seed_lookup_backward_direction(spark):
@@ -77,15 +78,26 @@ def test_parse_unique_nested_markup():
     assert parse_unique("<p>none</p>", "product-item") is None
 
 
-def test_extract_unique_regex_and_html(spark):
+def test_extract_unique(spark):
+    ship_package(spark)
     pages = spark.createDataFrame(
         [(1, '<div class="ad">Buy &amp; save</div>'), (2, '<div class="ad">x</div>' * 2),
          (3, "<p>no ad</p>"), (4, '<div id="z" class="top ad">y</div>'),
-         (5, '<div class="adx">no</div>'), (6, PAGE_ONE)],
+         (5, '<div class="adx">no</div>'), (6, PAGE_ONE),
+         (7, '<div class="ad">flat</div><p><div class="ad">a<b>nested</b></div></p>'),
+         (8, "<div class='ad'>quoted</div>"), (9, '<div class="ad">x <b>y</b></div>'),
+         (10, '<div class="ad">a&nbsp;&#233;</div>'), (11, None), (12, "")],
         "page_id BIGINT, html STRING")
     got = {r.page_id: r.description for r in extract_unique(pages, "ad").collect()}
-    assert got == {1: "Buy & save", 4: "y"}
+    assert got == {1: "Buy & save", 4: "y", 8: "quoted", 9: "x y", 10: "a\u00a0é"}
     nested = extract_unique(pages, "product-item", "product-description", "product-item-img")
     assert [tuple(r) for r in nested.collect()] == [(6, "Office chair", "/a.jpg?x=1&y=2")]
-    same = {r.page_id: r.description for r in extract_unique(pages, "ad", parser="html").collect()}
-    assert same == got
+
+
+def test_respond_keeps_null_fields(spark):
+    recs = spark.createDataFrame([(1, 2, 5)], "product_id BIGINT, rec_id BIGINT, support BIGINT")
+    cat = spark.createDataFrame([(1, "chair", None), (2, None, "l.png")],
+                                "product_id BIGINT, description STRING, image STRING")
+    req = spark.createDataFrame([(1,)], "product_id BIGINT")
+    assert json.loads(respond(req, recs, cat).first().response) == [
+        {"description": "chair", "image": None}, {"description": None, "image": "l.png"}]
