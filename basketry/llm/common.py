@@ -2,81 +2,33 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.session import scratch_path
+from basketry.session import ship_package as ship  # noqa: F401
+
 #: Rows handled at a time inside one Arrow batch, so Python's copies of a batch stay small.
 SLICE_ROWS = 512
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once an application.
-
-    A job submitted with ``--py-files`` or an installed package doesn't need it.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(prefix="basketry-py-"), "basketry-package.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "basketry")):
-            for name in (n for n in names if n.endswith(".py")):
-                full = os.path.join(folder, name)
-                z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables, by the reader (any store Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``.
-
-    The setting names a folder that the driver and all executors share. Only a local session
-    may leave it unset (tests); a cluster session without it is an error, because a machine's own
-    temporary folder is not seen by the other machines.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="basketry-llm-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/basketry-llm-{sc.applicationId}"
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in shared scratch and read it back.
 
     Cuts lineage: later jobs read files that outlive any executor instead of recomputing.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what ``staged`` wrote for this application; call it once results are saved."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def id_bucket(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

@@ -72,7 +72,7 @@ def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """All units, and the spans (doc_id, start, end) to remove.
 
-    Rows that share an id are one document. A null id ranks last. Equal places (repeated rows) are
+    Rows that share an id are one document with the units of all. A null id ranks last. Equal places (repeated rows) are
     the same occurrence.
     """
     units = staged(unit_table(docs, min_words), "units")

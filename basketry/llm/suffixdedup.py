@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import scratch_dir, staged, texts_of
+from basketry.llm.common import staged, texts_of
+from basketry.session import scratch_path
 
 SPAN, ANCHOR = 50, 20
 BLOCK = 2 << 20
@@ -266,7 +267,7 @@ def bucketed(blocks: DataFrame, n: int) -> tuple[DataFrame, str]:
     spark = blocks.sparkSession
     name = f"suffix_blocks_{uuid.uuid4().hex[:12]}"
     blocks.withColumn("block", F.monotonically_increasing_id()).write.option(
-        "path", f"{scratch_dir(spark)}/{name}").option("compression", "uncompressed").bucketBy(n, "block").saveAsTable(name)
+        "path", scratch_path(spark, name)).option("compression", "uncompressed").bucketBy(n, "block").saveAsTable(name)
     return spark.table(name), name
 
 
