@@ -183,7 +183,6 @@ def lm_first(model, symbol):
     """log10 probability of one first symbol."""
     sym = np.concatenate([np.full(lm.WORD, lm.PAD), [symbol]]).astype(np.uint32)
     here = np.array([lm.WORD])
-    total, n = np.zeros(1), lm.GATES * lm.DEPTHS
-    weights = model.weights.copy().reshape(n, -1)
-    model._block(sym, here, np.zeros(1, np.int64), weights, np.full(weights.shape, 50.0, np.float32), total)
+    total, zero = np.zeros(1), np.zeros((len(lm.CONTEXTS), 1), np.float32)
+    model._block(sym, here, np.zeros(1, np.int64), zero, total, zero.astype(float), np.zeros(1))
     return total[0] / math.log(10)
