@@ -7,11 +7,12 @@ instead of ``side ** 2 * 2 * rows``. Two sets of similarity s meet in some table
 
 The nodes are distinct shingle sets, named by a 64-bit digest, so copies cost nothing after the
 first pass. Sets that share a key are candidates; a link is confirmed on the full sets. No bucket is
-expanded into all pairs at once: in rounds, each bucket's sets are compared with one leader (the
-set with the least hash, another hash each round), confirmed links are joined into components, and
-only buckets that still hold several components go on. What is left after ``rounds`` rounds, or
-sooner if it is little, is compared exhaustively, so no candidate pair of different components
-stays unchecked.
+expanded into all pairs: its sets are compared with one of them, confirmed links are joined into
+components, and only buckets that still hold several components go on, compared with their most
+typical set, the one whose shingles most others have. What then still differs is compared if it
+passes an exact prefix filter: similar sets have a common shingle among their rarest, with enough
+shingles behind it. So no candidate pair of different components that could be similar stays
+unchecked, and a large group of copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import slices, staged, texts_of
@@ -197,9 +198,46 @@ def _open_members(batches):
                                              schema=_MEMBER)
 
 
-def _similar(n1, n2, percent: int):
-    """Set sizes that allow the similarity at all."""
-    return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+def _enough(common, sizes, percent: int):
+    """Whether ``common`` shingles can make two sets of ``sizes`` together similar at all."""
+    return (100 + percent) * common >= percent * sizes
+
+
+def _still_open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of the keys that hold several components, with their component c."""
+    known = members.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select(
+        *members.columns, F.coalesce("component", "sid").alias("c"))
+    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+    return known.join(mixed.select("key"), "key", "left_semi")
+
+
+def _pairs(near: DataFrame) -> DataFrame:
+    return near.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
+
+
+def _weighed(sets: DataFrame, sids: DataFrame) -> DataFrame:
+    """(sid, n, x, df): each shingle of the sets ``sids``, and in how many of them it is."""
+    each = sets.join(sids, "sid", "left_semi").select("sid", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+    return each.join(each.groupBy("x").agg(F.count("*").alias("df")), "x").select("sid", "n", "x", "df")
+
+
+def _by_prefix(words: DataFrame, percent: int) -> DataFrame:
+    """Pairs (sid, sid2) of different components c that could be similar, by prefix filtering.
+
+    Shingles are ordered rarest first. Similar sets have their first common shingle in the first
+    100 - percent of a hundred of both, and it leaves enough shingles behind it in both. For each
+    shingle, only the sets outside its most frequent component look for partners.
+    """
+    order = Window.partitionBy("sid").orderBy("df", "x")
+    head = words.withColumn("i", F.row_number().over(order) - 1).filter(
+        100 * F.col("i") <= (100 - percent) * F.col("n")).select("x", "sid", "n", "i", "c")
+    head = staged(head, "prefixes")
+    most = head.groupBy("x", "c").count().groupBy("x").agg(F.max_by("c", F.struct("count", "c")).alias("most"),
+                                                           F.count("*").alias("several")).filter("several > 1")
+    ask = head.join(most, "x").filter("c <> most").drop("most", "several")
+    other = head.select("x", *[F.col(k).alias(f"{k}2") for k in ("sid", "n", "i", "c")])
+    return ask.join(other, "x").filter((F.col("c") != F.col("c2")) & _enough(
+        F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")), F.col("n") + F.col("n2"), percent))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +271,7 @@ def _member_sets(docs: DataFrame, first: DataFrame, width: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS,
-                    side: int = SIDE, rounds: int = 4, seed: int = 1) -> DataFrame:
+                    side: int = SIDE, seed: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (integer doc_id, text).
 
     Rows whose sets of ``width``-word shingles are at least ``percent`` similar are linked;
@@ -254,44 +292,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         _open_members, "key long, sid long, n int")
     members = staged(met.union(local), "members")
 
-    linked = spark.createDataFrame([], "a long, b long")
-    tested = spark.createDataFrame([], "a long, b long")
-    comp = sets = None
-    open_ = members.distinct().withColumn("c", F.col("sid"))
-    for turn in range(rounds + 1):
-        if turn:
-            # buckets that still hold several components, by the links confirmed so far
-            open_ = (members.distinct() if turn == 1 else open_.drop("c")).join(
-                comp.withColumnRenamed("node", "sid"), "sid", "left").select(
-                "key", "sid", "n", F.coalesce("component", "sid").alias("c"))
-            mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-            open_ = staged(open_.join(mixed.select("key"), "key", "left_semi"), "open")
-        sizes = open_.groupBy("key").count()
-        total = sizes.agg(F.sum(F.col("count")), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
-        if not total[0]:
-            break
-        last = turn == rounds or total[1] <= 4 * total[0]
-        if last:
-            other = open_.select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            near = open_.join(other, "key").filter("sid < sid2")
-        else:
-            lead = open_.groupBy("key").agg(F.min(F.struct(
-                F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("sid2"),
-                F.col("n").alias("n2"), F.col("c").alias("c2"))).alias("lead")).select("key", "lead.*")
-            near = open_.join(lead, "key").filter("sid <> sid2")
-        pairs = near.filter(F.col("c") != F.col("c2")).filter(_similar(F.col("n"), F.col("n2"), percent)).select(
-            F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
-        if sets is None:
-            used = members.select("sid").distinct()
-            first = row.filter("doc_id IS NOT NULL").join(used, "sid", "left_semi").groupBy("sid").agg(
-                F.min("doc_id").alias("doc_id"))
-            sets = staged(_member_sets(docs, staged(first, "first"), width), "sets")
-        good = staged(_confirmed(pairs, sets, percent), "good")
-        linked, tested = linked.union(good), tested.union(pairs)
-        comp = components(linked)
-        if last:
-            break
+    comp = None
+    if not members.isEmpty():
+        # first, each bucket against one of its sets
+        lead = members.groupBy("key").agg(F.min(F.struct(
+            F.xxhash64("sid").alias("h"), F.col("sid").alias("sid2"), F.col("n").alias("n2"))).alias("lead"))
+        near = members.join(lead.select("key", "lead.*"), "key").filter(
+            (F.col("sid") != F.col("sid2")) & _enough(F.least("n", "n2"), F.col("n") + F.col("n2"), percent))
+        used = members.select("sid").distinct()
+        first = row.filter("doc_id IS NOT NULL").join(used, "sid", "left_semi").groupBy("sid").agg(
+            F.min("doc_id").alias("doc_id"))
+        sets = staged(_member_sets(docs, staged(first, "first"), width), "sets")
+        links = staged(_confirmed(_pairs(near), sets, percent), "links0")
+        comp = components(links)
+        # then the open buckets against their most typical set
+        open_ = staged(_still_open(members.distinct(), comp), "open")
+        words = staged(_weighed(sets, open_.select("sid").distinct()), "shingles")
+        typical = words.groupBy("sid").agg(F.avg("df").alias("typical"))
+        open_ = open_.join(typical, "sid")
+        lead = open_.groupBy("key").agg(F.max(F.struct(
+            "typical", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("c").alias("c2"))).alias("lead"))
+        near = open_.join(lead.select("key", F.col("lead.sid2"), F.col("lead.n2"), F.col("lead.c2")), "key").filter(
+            (F.col("c") != F.col("c2")) & _enough(F.least("n", "n2"), F.col("n") + F.col("n2"), percent))
+        links = staged(links.union(_confirmed(_pairs(near), sets, percent)), "links1")
+        comp = components(links)
+        # and what still differs, by the shingles that similar sets must share
+        left = _still_open(open_.select("key", "sid", "n"), comp).select("sid", "c").distinct()
+        more = _confirmed(_pairs(_by_prefix(words.join(left, "sid"), percent)), sets, percent)
+        comp = components(staged(links.union(more), "links2"))
     if comp is None:
         comp = spark.createDataFrame([], "node long, component long")
     where = row.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select(
