@@ -21,7 +21,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from basketry.queries import QUERIES  # noqa: E402
-from basketry.session import get_session  # noqa: E402
+from basketry.session import get_session, ship_package  # noqa: E402
 
 HEADLINE = [
     "order_part_join", "basket_lines", "pcy_candidates", "pcy_candidates_shuffle",
@@ -41,6 +41,7 @@ def main():
                         extra_conf={"spark.driver.memory": "16g",
                                     "spark.sql.execution.arrow.pyspark.enabled": "true"})
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     default_warmup = os.path.join(os.path.dirname(os.path.normpath(sf_dir)), "sf0.001")
     warmup_dir = os.environ.get("BENCH_WARMUP_DIR", default_warmup)
     if warmup_dir and os.path.isdir(warmup_dir):
