@@ -36,7 +36,7 @@ SPAN, ANCHOR = 50, 20
 BLOCK = 2 << 20
 #: Bytes of text for each anchor group, about.
 GROUP = 4 << 20
-PART = 1 << 19
+PART = 1 << 17
 _P = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -106,13 +106,11 @@ class Block:
         self.ends = np.cumsum(size)
         self.starts = self.ends - size
         self.x = np.frombuffer(self.raw, np.uint8)
-
-    def runs(self):
-        return anchor_runs(self.x, self.starts[self.named], self.ends[self.named])
+        self.runs = anchor_runs(self.x, self.starts[self.named], self.ends[self.named])
 
     def keys(self, groups: int):
         """By group: (group, sorted distinct hashes, whether two texts of the block have them)."""
-        _, _, text, h = self.runs()
+        _, _, text, h = self.runs
         order = np.lexsort((text, h))
         h, text = h[order], text[order]
         new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
@@ -129,7 +127,7 @@ class Block:
     def snippets(self, groups: int, marks: list):
         """Marked runs: (first window, windows, string number, owner) of each, and the distinct
         strings as (bytes, windows, id of the first text, anchor group)."""
-        first, count, text, h = self.runs()
+        first, count, text, h = self.runs
         marked = [keys[np.unpackbits(np.frombuffer(m, np.uint8), count=len(keys)).astype(bool)]
                   for (g, keys, _) in self.keys(groups) if (m := marks.get(g)) is not None]
         marked = np.sort(np.concatenate(marked)) if marked else np.zeros(0, np.uint64)
@@ -380,12 +378,12 @@ def _cut(groups, keep_text: bool):
                     size = (n + 7) // 8
                     bits[k] = np.unpackbits(np.frombuffer(v["bits"][at:at + size], np.uint8), count=n).astype(bool)
                     at += size
-            gone = np.zeros(len(block.x) + 1, np.int32)  # windows removed, by start
             owner = np.fromiter((s[2] for s in strings), np.int64, len(strings))
             copies = ids > owner[which] if len(strings) else np.zeros(0, bool)  # a smaller id of this block has it
-            for k in np.flatnonzero(copies):
-                gone[first[k]:first[k] + count[k]] = 1
-            for k in np.flatnonzero(~copies):
+            edges = np.bincount(first[copies], minlength=len(block.x) + 1)
+            edges -= np.bincount((first + count)[copies], minlength=len(block.x) + 1)
+            gone = np.cumsum(edges)                      # windows removed, by start
+            for k in np.flatnonzero(~copies).tolist() if bits else ():
                 if (b := bits.get(int(which[k]))) is not None:
                     gone[first[k]:first[k] + count[k]] |= b
             total = np.concatenate([[0], np.cumsum(gone[:-1])])
