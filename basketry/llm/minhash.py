@@ -336,9 +336,13 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """The rows of ``docs``, all columns, that stay: one document of each near-duplicate component,
     the one of the smallest id, and one of rows that repeat an id and its text. Rows without an id
     stay unless they are near a row with one."""
-    stay = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("stay")).distinct()
-    left = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("stay")), "left_semi")
-    return left.dropDuplicates(["doc_id", "text"])
+    stay = staged(near_duplicates(docs, width, percent).filter("kept").select(
+        F.col("doc_id").alias("stay")).distinct(), "stay")
+    # one shuffle of the texts, by doc_id, serves the join and the repeated rows
+    named = docs.filter("doc_id IS NOT NULL").join(stay, F.col("doc_id") == F.col("stay"), "left_semi")
+    bare = docs.filter("doc_id IS NULL").join(
+        stay.filter("stay IS NULL"), F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi")
+    return named.dropDuplicates(["doc_id", "text"]).union(bare.dropDuplicates(["text"]))
 
 
 #: DuckDB SQL for ``op9_near_duplicates``: links counted over shared shingles, then reachability.
