@@ -187,3 +187,30 @@ def lm_first(model, symbol):
     total, zero = np.zeros(1), np.zeros((len(lm.CONTEXTS), 1), np.float32)
     model._block(sym, here, np.zeros(1, np.int64), zero, total, zero.astype(float), np.zeros(1))
     return total[0] / math.log(10)
+
+
+def test_lm_contexts_keep_their_own_counts(llm):
+    """Opinions are the log odds of each context's own counts, however many contexts there are, and
+    don't depend on how blocks and ranges are cut."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcdefgh é") for _ in range(rnd.randrange(1, 200))).encode() for _ in range(60)]
+    code = lm.Code(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=257) + 0.0)
+    n = Counter()
+    sym, at, _ = lm.symbols(texts)
+    for i in at.tolist():
+        for d in range(code.length[sym[i]]):
+            for c in (2, 4):
+                n[c, tuple(sym[i - c:i].tolist()), code.node[d, sym[i]], code.bit[d, sym[i]]] += 1
+    keys, counts = lm.count_keys(texts, code)
+    views, _ = lm.opinions_of(keys, counts, code)
+    (_, model, sym, at, _), = lm.answered(texts, code, views)
+    for d, (sel, _, _, seen) in enumerate(model._bits(sym, at, *model._contexts(sym, at))):
+        for j, i in enumerate(at[sel].tolist()):
+            for k, c in ((0, 2), (1, 4)):
+                context, node = tuple(sym[i - c:i].tolist()), code.node[d, sym[i]]
+                odds = math.log((n[c, context, node, 1] + 0.4) / (n[c, context, node, 0] + 0.4)) * lm.STEP
+                assert seen[k][j] == np.clip(np.rint(odds), -127, 127)
+    docs = frame(llm, [t.decode() for t in texts])
+    whole = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
+    cut = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, block_bytes=900, range_bytes=700).collect()}
+    assert cut == pytest.approx(whole, rel=1e-5) and len(cut) == len(texts)
