@@ -214,3 +214,20 @@ def test_lm_contexts_keep_their_own_counts(llm):
     whole = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
     cut = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, block_bytes=900, range_bytes=700).collect()}
     assert cut == pytest.approx(whole, rel=1e-5) and len(cut) == len(texts)
+
+
+def test_lm_learns_its_tuning_texts(llm):
+    """A held-out copy of a learning text is foretold even if all learning texts are in the tuning sample."""
+    rnd = random.Random(9)
+    order = llm.range(2000).selectExpr("id", f"pmod(xxhash64(id), {lm.TUNING_SHARE}) = 0 AS tuned").collect()
+    held = [r["id"] for r in order if zlib.crc32(str(r["id"]).encode()) % 10 == 0][:2]
+    tuned = [r["id"] for r in order if r["tuned"] and zlib.crc32(str(r["id"]).encode()) % 10][:40]
+    fresh = lambda: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(60))
+    texts = [(i, fresh()) for i in tuned]
+    rows = [*texts, (held[0], texts[5][1]), (held[1], fresh())]
+    bits = {r["doc_id"]: r["bits_per_byte"] for r in lm.score_documents(frame(llm, rows)).collect()}
+    assert bits[held[0]] < 0.7 * bits[held[1]]
+    docs = frame(llm, rows).selectExpr("doc_id", "text", f"doc_id in ({held[0]}, {held[1]}) AS held_out")
+    want = Counter("".join(t for _, t in texts).encode())
+    got = lm.symbol_counts(lm.pack(docs, 2000))
+    assert got[lm.END] == len(texts) and {s: n for s, n in enumerate(got[:256].tolist()) if n} == want
