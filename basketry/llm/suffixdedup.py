@@ -10,7 +10,9 @@ A byte is removed if a 50-byte string over it also starts in a document with a s
    documents of one block, are marked. Anything else can't hold a repeat.
 3. The bytes of the windows around a marked anchor go to the anchor's group, one copy for each block
    and distinct string: copies within a block are pre-aggregated, so a passage in a third of all
-   documents costs one string a block.
+   documents costs one string a block. An anchor with more strings than a group should hold (a common
+   phrase with other text around it) is split: each of its windows goes, alone, to the group of the
+   hash of its 50 bytes, where all windows equal to it go too.
 4. A group sorts its window suffixes in two stages: suffixes that don't exceed their successor are
    sorted directly; the rest are induced by one scan over the buckets by first byte, each bucket's
    sorted suffixes placing those before them. Adjacent common prefixes of 50 bytes then give the
@@ -26,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ BLOCK = 2 << 20
 #: Bytes of text for each anchor group, about.
 GROUP = 4 << 20
 PART = 1 << 17
+#: Distinct strings of an anchor in a block from which they are counted one by one.
+MANY = 4
 _P = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -124,18 +129,39 @@ class Block:
         cut = np.flatnonzero(np.diff(group[order])) + 1
         return [(int(group[i[0]]), h[i], several[i]) for i in np.split(order, cut) if len(i)]
 
+    def many(self) -> dict[int, int]:
+        """Distinct strings around each anchor that has ``MANY`` or more."""
+        first, count, _, h = self.runs
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate([[True], np.diff(h[order]) != 0]) if len(h) else np.zeros(0, bool)
+        edge, out = np.flatnonzero(new), {}
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(h)], strict=False):
+            if b - a >= MANY:
+                n = len({self.raw[first[k]:first[k] + count[k] + SPAN - 1] for k in order[a:b]})
+                if n >= MANY:
+                    out[int(h[order[a]])] = n
+        return out
+
     def snippets(self, groups: int, marks: list):
-        """Marked runs: (first window, windows, string number, owner) of each, and the distinct
+        """Marked runs, those of split anchors by window: (first window, windows, string number, owner) of each, and the distinct
         strings as (bytes, windows, id of the first text, anchor group)."""
         first, count, text, h = self.runs
-        marked = [keys[np.unpackbits(np.frombuffer(m, np.uint8), count=len(keys)).astype(bool)]
-                  for (g, keys, _) in self.keys(groups) if (m := marks.get(g)) is not None]
+        of = [(keys, m) for (g, keys, _) in self.keys(groups) if (m := marks.get(g)) is not None]
+        marked = [keys[np.unpackbits(np.frombuffer(m, np.uint8), count=len(keys)).astype(bool)] for keys, m in of]
+        split = [keys[np.unpackbits(np.frombuffer(m, np.uint8)[(len(keys) + 7) // 8:], count=len(keys)).astype(bool)]
+                 for keys, m in of if len(m) > (len(keys) + 7) // 8]
         marked = np.sort(np.concatenate(marked)) if marked else np.zeros(0, np.uint64)
         if not len(marked):
             return (first[:0], count[:0], first[:0], first[:0]), []
         at = np.minimum(np.searchsorted(marked, h), len(marked) - 1)
         keep = marked[at] == h
         first, count, text, h = first[keep], count[keep], text[keep], h[keep]
+        alone = np.isin(h, np.concatenate(split)) if split else np.zeros(len(h), bool)
+        if alone.any():
+            n = np.where(alone, count, 1)
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            first, text, h = np.repeat(first, n) + within, np.repeat(text, n), np.repeat(h, n)
+            count, alone = np.repeat(np.where(alone, 1, count), n), np.repeat(alone, n)
         known: dict[bytes, int] = {}
         strings, which = [], np.zeros(len(first), np.int64)
         ids = self.ids[self.named]
@@ -145,7 +171,8 @@ class Block:
             s = raw[a:a + n + SPAN - 1]
             j = known.setdefault(s, len(strings))
             if j == len(strings):
-                strings.append((s, n, int(ids[t]), int(group[k])))
+                g = xxhash.xxh3_64_intdigest(s) % groups if alone[k] else int(group[k])
+                strings.append((s, n, int(ids[t]), g))
             which[k] = j
         return (first, count, which, ids[text]), strings
 
@@ -281,14 +308,21 @@ _PACKED = ("block", "raw", "ids", "named", "sizes")
 def _send_keys(groups):
     def run(batches):
         for row in _rows(batches, _PACKED):
-            keys = Block(row).keys(groups)
+            block = Block(row)
+            keys, many = block.keys(groups), block.many()
+            wide = np.sort(np.fromiter(many, np.uint64, len(many)))
+
+            def counted(h, wide=wide, many=many):
+                k = np.flatnonzero(np.isin(h, wide))
+                return np.array([(i, many[int(h[i])]) for i in k.tolist()], np.int64).tobytes()
             for a in range(0, len(keys), 64):
                 some = keys[a:a + 64]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["block"]] * len(some), pa.int64()), pa.array([g for g, _, _ in some], pa.int32()),
                      pa.array([_short(h) for _, h, _ in some], pa.binary()),
-                     pa.array([np.packbits(s).tobytes() for _, _, s in some], pa.binary())],
-                    names=["block", "g", "keys", "several"])
+                     pa.array([np.packbits(s).tobytes() for _, _, s in some], pa.binary()),
+                     pa.array([counted(h) for _, h, _ in some], pa.binary())],
+                    names=["block", "g", "keys", "several", "many"])
     return run
 
 
@@ -297,17 +331,26 @@ def _short(h: np.ndarray) -> bytes:
     return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _mark_keys(table: pa.Table) -> pa.Table:
-    """Bitmap, for each block's keys of a group, of those that another text has too."""
+def _mark_keys(table: pa.Table, limit: int) -> pa.Table:
+    """Bitmap, for each block's keys of a group, of those that another text has too; behind it, if
+    there are any, one of those with more than ``limit`` strings in all blocks, by the counts sent and
+    ``MANY - 1`` for a block that sent none."""
     blobs = [np.frombuffer(b, np.uint8).reshape(-1, 6) for b in table.column("keys").to_pylist()]
     wide = np.zeros((sum(map(len, blobs)), 8), np.uint8)
     wide[:, :6] = np.concatenate(blobs)
     _, where, times = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
     shared, at, out = times[where] > 1, 0, []
+    strings = times * (MANY - 1)
+    for blob, many in zip(blobs, table.column("many").to_pylist(), strict=True):
+        k, n = np.frombuffer(many, np.int64).reshape(-1, 2).T
+        np.add.at(strings, where[at + k], n)
+        at += len(blob)
+    split, at = (strings > limit)[where], 0
     for blob, several in zip(blobs, table.column("several").to_pylist(), strict=True):
         n = len(blob)
         local = np.unpackbits(np.frombuffer(several, np.uint8), count=n).astype(bool)
-        out.append(np.packbits(shared[at:at + n] | local).tobytes())
+        hot = split[at:at + n]
+        out.append(np.packbits(shared[at:at + n] | local).tobytes() + (np.packbits(hot).tobytes() if hot.any() else b""))
         at += n
     return pa.Table.from_arrays([table.column("block"), table.column("g"), pa.array(out, pa.binary())],
                                 names=["block", "g", "mark"])
@@ -416,8 +459,13 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False, block_bytes: int
     groups = max(1, -(-size // group_bytes))
     buckets = max(1, min(-(-size // (8 * block_bytes)), 20_000))
     blocks, name = bucketed(pack(docs, block_bytes), buckets)
-    keys = blocks.mapInArrow(_send_keys(groups), "block long, g int, keys binary, several binary")
-    marks = staged(keys.groupBy("g").applyInArrow(_mark_keys, "block long, g int, mark binary"), "marks")
+    keys = blocks.mapInArrow(_send_keys(groups), "block long, g int, keys binary, several binary, many binary")
+    limit = group_bytes // (2 * SPAN)
+
+    def mark(table: pa.Table) -> pa.Table:
+        return _mark_keys(table, limit)
+
+    marks = staged(keys.groupBy("g").applyInArrow(mark, "block long, g int, mark binary"), "marks")
     by_block = marks.groupBy("block").agg(F.collect_list(F.struct("g", "mark")).alias("marks"))
     sent = blocks.join(by_block, "block").mapInArrow(
         _send_strings(groups), "block long, g int, which binary, counts binary, ids binary, bytes binary")

@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -165,3 +167,29 @@ def test_lines(llm, odd, empty):
     assert text[9] == "ab cd.  And then something quite new"
     assert linededup.dedup_report(odd).count() == odd.count()
     assert linededup.dedup_report(empty).count() == 0
+
+
+def test_strings_around_a_common_phrase_are_spread(llm):
+    """A phrase in every text with other text around it doesn't put all its strings in one group."""
+    rnd = random.Random(12)
+    fresh = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [fresh(60) + "the phrase all texts have in common" + fresh(60) for _ in range(400)]
+    texts += [t[20:130] for t in texts[::40]]
+    df = frame(llm, texts)
+    x = "".join(texts).encode()
+    raw = {"raw": zlib.compress(x), "ids": np.arange(len(texts)).tobytes(), "named": b"\1" * len(texts),
+           "sizes": np.array([len(t) for t in texts]).tobytes()}
+    block = suffixdedup.Block(raw)
+    assert max(block.many().values()) > 300
+    keys = block.keys(8)
+    many = block.many()
+    marks = suffixdedup._mark_keys(pa.table({
+        "block": [0] * len(keys), "g": [g for g, _, _ in keys], "keys": [suffixdedup._short(h) for _, h, _ in keys],
+        "several": [np.packbits(s).tobytes() for _, _, s in keys],
+        "many": [np.array([(i, many[k]) for i, k in enumerate(h.tolist()) if k in many], np.int64).tobytes() for _, h, _ in keys]}), 100)
+    _, strings = block.snippets(8, {r["g"]: r["mark"] for r in marks.to_pylist()})
+    size = Counter()
+    for s, _, _, g in strings:
+        size[g] += 1
+    assert len(size) == 8 and max(size.values()) < 2 * min(size.values())
+    check_substrings(df, block_bytes=4000, group_bytes=2000)
