@@ -6,7 +6,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, decontam, langid, linededup, lm, minhash, pii, quality, suffixdedup, urlfilter
+from basketry.llm import (bpe, decontam, langid, linededup, lm, minhash, phrases, pii, quality, spelling, suffixdedup,
+                          urlfilter)
 from basketry.llm.common import ship, table
 
 QUERIES: dict = {}
@@ -92,6 +93,18 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+@query("op12_spelling_variants", spelling.VARIANTS_SQL)
+def op12_spelling_variants(spark, sf_dir):
+    """Near words, forms and roots of the frequent long words of all documents."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_phrases", phrases.PHRASES_SQL)
+def op13_phrases(spark, sf_dir):
+    """Each language's best collocations of two to four words over all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op8_personal_data")
 def op8_personal_data(spark, sf_dir):
     """Personal data of all documents: base spans and those the trained classifier adds."""
