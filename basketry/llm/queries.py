@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import (bpe, decontam, langid, linededup, lm, minhash, phrases, pii, quality, spelling, suffixdedup,
-                          urlfilter)
+                          toxicity, urlfilter)
 from basketry.llm.common import ship, table
 
 QUERIES: dict = {}
@@ -93,6 +93,12 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark, sf_dir):
+    """Toxicity score of every document, learnt from the labelled rows outside the held-out fifth."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op12_spelling_variants", spelling.VARIANTS_SQL)
 def op12_spelling_variants(spark, sf_dir):
     """Near words, forms and roots of the frequent long words of all documents."""
