@@ -144,7 +144,7 @@ def bitmap_of(numbers: DataFrame, power: int) -> np.ndarray:
     bit = F.col("number").bitwiseAND(F.lit((1 << power) - 1))
     rows = numbers.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = np.zeros((1 << power) // 8 + 4096, np.uint8)
+    out = np.zeros((((1 << power) >> 15) + 2) * 4096, np.uint8)  # whole buckets of 32768 bits
     for row in rows:
         part = np.frombuffer(row["bits"], np.uint8)
         out[row["bucket"] * 4096:row["bucket"] * 4096 + len(part)] = part
