@@ -16,15 +16,18 @@ of about ``block_size`` rows a side and no task gets the whole basket.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.groups import item_pairs
+from basketry.functions.groups import check_group_size, item_groups, item_pairs
 from basketry.operators.baskets import basket_items, is_array_baskets, shared_items
+from basketry.operators.membership import MAX_BROADCAST_ROWS
 from basketry.session import materialized
 
 DEFAULT_BLOCK_SIZE = 4096
 DEFAULT_SAMPLE_FRACTION = 0.01
+#: Occurrences that one generated step stands for.
+EXPAND_STEP = 1 << 16
 
 
 def array_pair_occurrences(baskets: DataFrame) -> DataFrame:
@@ -85,6 +88,8 @@ def _item_pair_rows(lines: DataFrame, block_size: int | None,
     hot_set = materialized(hot_baskets(items, block_size, sample_fraction), "hot-baskets")
     if hot_set.isEmpty():
         return _plain_pairs(items)
+    # at most one hot basket for each block_size rows of the sample: small, and never shuffled against
+    hot_set = F.broadcast(hot_set) if hot_set.count() <= MAX_BROADCAST_ROWS else hot_set
     normal = items.join(hot_set, "order_id", "left_anti")
     hot = items.join(hot_set, "order_id")
     return _plain_pairs(normal).unionByName(
@@ -110,56 +115,73 @@ def self_join_pair_occurrences(lines: DataFrame,
             .where(F.col("n") > F.lit(0)))
 
 
-def triple_occurrences(lines: DataFrame, block_size: int | None = DEFAULT_BLOCK_SIZE,
-                       sample_fraction: float = DEFAULT_SAMPLE_FRACTION) -> DataFrame:
-    """G3 with k = 3 on lines: ``(order_id, item1, item2, item3, n)``.
-
-    The groups of a sorted basket ``b`` are ``(b[i], b[i+1], b[j])`` for
-    ``j >= i + 2``; ``n`` counts the position triples giving each group. Over
-    the basket's distinct items ``a`` (multiplicity ``m_a``, next larger item
-    ``s``), they are exactly:
+def ranked_items(lines: DataFrame) -> DataFrame:
+    """``(order_id, item, mult, first, size)``: where each distinct item starts in its sorted basket.
 
-    * ``(a, a, a)``, ``C(m_a - 1, 2)`` times;
-    * ``(a, a, c)`` for each item ``c > a``, ``(m_a - 1) * m_c`` times;
-    * ``(a, s, s)``, ``m_s - 1`` times;
-    * ``(a, s, c)`` for each item ``c > s``, ``m_c`` times.
-
-    So everything comes from the item pairs of the skew-safe pair join (which
-    pairs each item with itself too): one aggregate keyed by ``(order_id, a)``
-    gives ``m_a`` and the successor ``s`` (the smallest larger partner), and
-    the last case joins those successor rows with the pairs on
-    ``(order_id, s, m_s)``, a key each successor row holds once. No step gathers a
-    basket in one row, task or group.
+    Positions are prefix counts over item ranges. The ``(order_id, item)`` rows, which are distinct, are
+    range-partitioned by both columns, so a basket of any size is cut into chunks of at most one
+    partition. Items are counted up inside their chunk, and the chunks of a basket (at most as many as
+    there are partitions) inside the basket. Runs a job: the rows are written to shared scratch.
+    """
+    items = materialized(basket_items(lines).repartitionByRange("order_id", "item")
+                         .withColumn("_c", F.spark_partition_id()), "item-ranges")
+    upto = Window.partitionBy("order_id", "_c").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    inside = items.withColumn("_before", F.coalesce(F.sum("mult").over(upto), F.lit(0)))
+    basket = Window.partitionBy("order_id")
+    earlier = basket.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = (items.groupBy("order_id", "_c").agg(F.sum("mult").alias("_n"))
+              .select("order_id", "_c", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+                      F.sum("_n").over(basket).alias("size")))
+    return materialized(
+        inside.join(chunks, ["order_id", "_c"])
+        .select("order_id", "item", "mult", (F.col("_offset") + F.col("_before")).alias("first"), "size"),
+        "ranked-items")
+
+
+def _positions(ranked: DataFrame) -> DataFrame:
+    """``(order_id, _i, item, size)``: one row per position of each sorted basket. A repeated item is
+    cut into steps of ``EXPAND_STEP`` first, so no row holds all its positions."""
+    end = F.col("first") + F.col("mult") - 1
+    start = F.col("first") + F.col("_s") * EXPAND_STEP
+    steps = ranked.select("order_id", "item", "size", "first", "mult", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.shiftright(F.col("mult") - 1, 16))).alias("_s"))
+    return steps.select("order_id", F.explode(F.sequence(start, F.least(end, start + (EXPAND_STEP - 1)))).alias("_i"),
+                        "item", "size")
+
+
+def group_occurrences(lines: DataFrame, k: int, block_size: int | None = DEFAULT_BLOCK_SIZE,
+                      ranked: DataFrame | None = None) -> DataFrame:
+    """G1-G3 on lines for any k: ``(order_id, item1 .. itemk, n)``.
+
+    The groups of a sorted basket are k-1 items in a row and any later one: ``(b[i], .., b[i+k-2], b[j])``
+    with ``j >= i + k - 1``. The items in a row come from equi-joins on ``(order_id, position)``, a key
+    that every row has alone. A later item joins by range: it stands from ``first`` to its end, so it
+    gives ``n`` groups, one for each of its positions from ``i + k - 1`` on. Baskets above ``block_size``
+    positions are cut into blocks of positions; a base meets each block it can reach under a key of
+    its own, so no key holds more than ``block_size`` bases and items. A group whose items start at
+    several positions has a row for each. ``ranked`` (from ``ranked_items``) may be given to share it.
     """
-    # the pair rows feed four cases, so they are made once
-    rows = materialized(_item_pair_rows(lines, block_size, sample_fraction), "pair-rows")
-    pairs = rows.where(F.col("item1") < F.col("item2"))
-    later = F.when(F.col("item2") > F.col("item1"),
-                   F.struct(F.col("item2").alias("s"), F.col("_m2").alias("ms")))
-    per_item = (rows.groupBy("order_id", "item1")
-                .agg(F.max("_m1").alias("ma"), F.min(later).alias("_n"))
-                .select("order_id", F.col("item1").alias("a"), "ma", "_n.s", "_n.ms"))
-    ma, m1, m2, ms = F.col("ma"), F.col("_m1"), F.col("_m2"), F.col("ms")
-    cols = ["order_id", "item1", "item2", "item3", "n"]
-    one = per_item.where(ma >= 3).select(
-        "order_id", F.col("a").alias("item1"), F.col("a").alias("item2"),
-        F.col("a").alias("item3"), F.shiftright((ma - 1) * (ma - 2), 1).alias("n"))
-    two = pairs.where(m1 >= 2).select(
-        "order_id", "item1", F.col("item1").alias("item2"), F.col("item2").alias("item3"),
-        ((m1 - 1) * m2).alias("n"))
-    succ = per_item.where(F.col("s").isNotNull())
-    three = succ.where(ms >= 2).select(
-        "order_id", F.col("a").alias("item1"), F.col("s").alias("item2"),
-        F.col("s").alias("item3"), (ms - 1).alias("n"))
-    # Joined on the successor's item and multiplicity, as the pair rows carry
-    # both (the multiplicity follows from the item, so it selects nothing more).
-    four = (succ.join(pairs.select("order_id", F.col("item1").alias("s"),
-                                   F.col("_m1").alias("ms"), "item2", "_m2"),
-                      ["order_id", "s", "ms"])
-            .select("order_id", F.col("a").alias("item1"), F.col("s").alias("item2"),
-                    F.col("item2").alias("item3"), F.col("_m2").alias("n")))
-    return (one.select(cols).unionByName(two.select(cols)).unionByName(three.select(cols))
-            .unionByName(four.select(cols)))
+    check_group_size(k)
+    if k == 1:
+        return basket_items(lines).select("order_id", F.col("item").alias("item1"), F.col("mult").alias("n"))
+    ranked = ranked_items(lines) if ranked is None else ranked
+    positions = _positions(ranked)
+    base = positions.withColumnRenamed("item", "item1").where(F.col("_i") + (k - 1) < F.col("size"))
+    for t in range(1, k - 1):
+        base = base.join(positions.select("order_id", (F.col("_i") - t).alias("_i"), F.col("item").alias(f"item{t + 1}")),
+                         ["order_id", "_i"])
+    wide = F.lit(block_size) if block_size else F.col("size")
+    block = lambda place: F.floor(place / wide).cast("int")
+    reach = F.col("_i") + (k - 1)
+    base = base.withColumn("_b1", block(F.col("_i"))).withColumn(
+        "_b2", F.explode(F.sequence(block(reach), block(F.col("size") - 1))))
+    end = F.col("first") + F.col("mult") - 1
+    later = ranked.select("order_id", F.col("item").alias(f"item{k}"), "first", end.alias("_end"),
+                          block(end).alias("_b2"))
+    later = later.withColumn("_b1", F.explode(F.sequence(F.lit(0), F.col("_b2"))))
+    return (base.drop("size").join(later, ["order_id", "_b1", "_b2"]).where(F.col("_end") >= reach)
+            .select("order_id", *[f"item{t}" for t in range(1, k + 1)],
+                    (F.col("_end") - F.greatest("first", reach) + 1).cast("bigint").alias("n")))
 
 
 def pair_occurrences(df: DataFrame, block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
@@ -180,8 +202,25 @@ def pair_occurrences(df: DataFrame, block_size: int | None = DEFAULT_BLOCK_SIZE)
     return small.unionByName(self_join_pair_occurrences(big_lines, block_size))
 
 
-#: Occurrences that one generated step stands for.
-EXPAND_STEP = 1 << 16
+def basket_groups(baskets: DataFrame, k: int, block_size: int | None = DEFAULT_BLOCK_SIZE,
+                  ranked: DataFrame | None = None) -> DataFrame:
+    """``(order_id, group, n)``: the k-groups of baskets given as arrays or as lines.
+
+    Arrays of at most ``block_size`` items are expanded in place; larger ones, and lines, go through
+    ``group_occurrences`` (pairs through the pair join), so no basket is expanded inside one row.
+    """
+    if is_array_baskets(baskets):
+        size = F.size("items")
+        small = baskets.where(size <= block_size) if block_size else baskets
+        out = small.select("order_id", F.explode(item_groups("items", k)).alias("group"),
+                           F.lit(1).cast("bigint").alias("n"))
+        if not block_size:
+            return out
+        big = baskets.where(size > block_size).select("order_id", F.explode("items").alias("item"))
+        return out.unionByName(basket_groups(big, k, block_size))
+    rows = (self_join_pair_occurrences(baskets, block_size) if k == 2 and ranked is None
+            else group_occurrences(baskets, k, block_size, ranked))
+    return rows.select("order_id", F.array(*[f"item{t}" for t in range(1, k + 1)]).alias("group"), "n")
 
 
 def expand_occurrences(pairs: DataFrame, cols=("order_id", "item1", "item2")) -> DataFrame:

@@ -22,14 +22,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.groups import check_group_size, item_groups
+from basketry.functions.groups import check_group_size
 from basketry.functions.hashes import PAIR_BUCKETS, SINGLE_MOD, hash_group, hash_single_group
 from basketry.operators.baskets import is_array_baskets, shared_items
 from basketry.operators.counting import (bucket_counts, frequent_buckets, having_support,
                                          pair_buckets, shared_item_counts)
 from basketry.operators.membership import check_strategy, keep_members, prepare_side
-from basketry.operators.pairs import (DEFAULT_BLOCK_SIZE, expand_occurrences, pair_occurrences,
-                                      triple_occurrences)
+from basketry.operators.pairs import (DEFAULT_BLOCK_SIZE, basket_groups, expand_occurrences,
+                                      pair_occurrences, ranked_items)
 
 
 def pcy_filtered_pairs(baskets: DataFrame, support: int, num_buckets: int = PAIR_BUCKETS,
@@ -76,45 +76,25 @@ def pcy_candidates(baskets: DataFrame, support: int, num_buckets: int = PAIR_BUC
 
 def pcy_pass(baskets: DataFrame, n: int, support: int,
              hash_n: Callable[[Column], Column] | None = None,
-             hash_n1: Callable[[Column], Column] | None = None):
-    """Pass n of PCY.
-
-    ``baskets`` are arrays, or lines for n = 1 and 2. Returns
-    ``(frequent_n, bitmap_n1, groups_n1)``: hashes of the n-groups with
-    count > support, buckets of the (n+1)-groups with count > support, and the
-    (n+1)-groups themselves ``(order_id, group)``. Default hashes are the
-    reference's: plain product mod 1e8 for n-groups, product of (2x+1) mod
-    999917 for (n+1)-groups.
+             hash_n1: Callable[[Column], Column] | None = None,
+             block_size: int | None = DEFAULT_BLOCK_SIZE):
+    """Pass n of PCY, for any n >= 1, on lines or basket arrays.
+
+    Returns ``(frequent_n, bitmap_n1, groups_n1)``: hashes of the n-groups with count > support,
+    buckets of the (n+1)-groups with count > support, and the (n+1)-groups themselves
+    ``(order_id, group)``. Default hashes are the reference's: plain product mod 1e8 for n-groups,
+    product of (2x+1) mod 999917 for (n+1)-groups. The items of each basket (from n = 2 on with
+    their positions) are written to shared scratch once and shared by all three results; groups carry
+    their occurrence count, so counts are weighted sums.
     """
     check_group_size(n)
     hash_n = hash_n or (lambda g: hash_single_group(g, SINGLE_MOD))
     hash_n1 = hash_n1 or (lambda g: hash_group(g, PAIR_BUCKETS))
-    if not is_array_baskets(baskets):
-        if n > 2:
-            raise ValueError("pcy_pass on lines supports n = 1 and 2; pass basket arrays "
-                             "for n >= 3")
-        # Lines: groups come from the skew-safe self-join with multiplicities
-        # (pairs), and for n = 2 from the pair-based triples; each group row
-        # carries its occurrence count ``n``, so counts are weighted sums.
-        baskets = shared_items(baskets)
-        if n == 1:
-            frequent_n = having_support(
-                bucket_counts(baskets, hash_n(F.array(F.col("item"))), "mult"), support)
-            upper = pair_occurrences(baskets)
-            cols = ["item1", "item2"]
-        else:
-            pairs = pair_occurrences(baskets)
-            frequent_n = having_support(
-                bucket_counts(pairs, hash_n(F.array("item1", "item2")), "n"), support)
-            upper = triple_occurrences(baskets)
-            cols = ["item1", "item2", "item3"]
-        bitmap_n1 = having_support(
-            bucket_counts(upper, hash_n1(F.array(*cols)), "n"), support)
-        groups_n1 = expand_occurrences(upper, ["order_id", *cols]).select(
-            "order_id", F.array(*cols).alias("group"))
-        return frequent_n, bitmap_n1, groups_n1
-    groups_n = baskets.select("order_id", F.explode(item_groups("items", n)).alias("group"))
-    frequent_n = having_support(bucket_counts(groups_n, hash_n(F.col("group"))), support)
-    groups_n1 = baskets.select("order_id", F.explode(item_groups("items", n + 1)).alias("group"))
-    bitmap_n1 = having_support(bucket_counts(groups_n1, hash_n1(F.col("group"))), support)
-    return frequent_n, bitmap_n1, groups_n1
+    baskets, ranked = shared_items(baskets), None
+    if n > 1 and not is_array_baskets(baskets):
+        ranked = ranked_items(baskets)
+    lower = basket_groups(baskets, n, block_size, ranked)
+    upper = basket_groups(baskets, n + 1, block_size, ranked)
+    frequent_n = having_support(bucket_counts(lower, hash_n(F.col("group")), "n"), support)
+    bitmap_n1 = having_support(bucket_counts(upper, hash_n1(F.col("group")), "n"), support)
+    return frequent_n, bitmap_n1, expand_occurrences(upper, ["order_id", "group"])

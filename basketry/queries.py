@@ -24,8 +24,8 @@ from basketry.operators import counting as C
 from basketry.operators import recommend as R
 from basketry.operators.fpm import fp_growth, transaction_sets
 from basketry.operators.pages import extract_unique
-from basketry.operators.pairs import (expand_occurrences, pair_occurrences,
-                                      self_join_pair_occurrences, triple_occurrences)
+from basketry.operators.pairs import (expand_occurrences, group_occurrences, pair_occurrences,
+                                      self_join_pair_occurrences)
 from basketry.plans.baskets import csv_basket_lines, csv_basket_runs, order_baskets
 from basketry.plans.pcy import filtered_by, pcy_candidates, pcy_filtered_pairs, pcy_pass
 from basketry.plans.probe import coprime_multiplier, probe_hits
@@ -162,9 +162,17 @@ def q_item_groups_2(spark, d):
     return expand_occurrences(pair_occurrences(_lines(spark, d)))
 
 
+def _groups(spark, d, k):
+    return expand_occurrences(group_occurrences(_lines(spark, d), k),
+                              ("order_id", *[f"item{t}" for t in range(1, k + 1)]))
+
+
 def q_item_groups_k(spark, d):
-    return expand_occurrences(triple_occurrences(_lines(spark, d)),
-                              ("order_id", "item1", "item2", "item3"))
+    return _groups(spark, d, 3)
+
+
+def q_item_groups_4(spark, d):
+    return _groups(spark, d, 4)
 
 
 def q_basket_self_pairs(spark, d):
@@ -261,6 +269,19 @@ def q_pcy_pass_groups(spark, d):
     return groups.select("order_id", F.col("group")[0].alias("item1"), F.col("group")[1].alias("item2"))
 
 
+def q_pcy_pass_3_frequent(spark, d):
+    return pcy_pass(_lines(spark, d), 3, 0)[0]
+
+
+def q_pcy_pass_3_bitmap(spark, d):
+    return pcy_pass(_lines(spark, d), 3, PAIR_SUPPORT)[1]
+
+
+def q_pcy_pass_3_groups(spark, d):
+    groups = pcy_pass(_lines(spark, d), 3, PAIR_SUPPORT)[2]
+    return groups.select("order_id", *[F.col("group")[t].alias(f"item{t + 1}") for t in range(4)])
+
+
 def q_csv_basket_runs(spark, d):
     """CSV rows written in order of order and item, so each basket is one run of rows."""
     rows = _lines(spark, d).select("order_id", F.lit("x").alias("a"), F.lit("y").alias("b"), "item")
@@ -272,7 +293,8 @@ def q_csv_basket_runs(spark, d):
 
 
 def q_basket_parse_permissive(spark, d):
-    """Every third basket line is broken (no colon, or a word among the items) and dropped."""
+    """Every third basket line has no colon and is dropped; every third has a word behind its items: only
+    that token goes (SURVEY T16)."""
     lines = B.basket_lines(_baskets(spark, d))
     key = F.split("line", " : ")[0].cast("bigint")
     broken = lines.select(F.when(key % 3 == 1, F.replace("line", F.lit(" : "), F.lit(" ")))
@@ -489,7 +511,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT order_id, item1, item2 FROM pairs WHERE item1 IN (SELECT k FROM it) "
         "AND item2 IN (SELECT k FROM it) AND bucket IN (SELECT bucket FROM bk)"),
     "distinct_keys": _pairs_sql(
-        f"it AS (SELECT item % 100000000 AS k FROM bp GROUP BY 1 HAVING count(*) > {PAIR_SUPPORT})",
+        f"it AS (SELECT item AS k FROM bp GROUP BY 1 HAVING count(*) > {PAIR_SUPPORT})",
         f"bk AS (SELECT bucket FROM pairs GROUP BY 1 HAVING count(*) > {PAIR_SUPPORT})") + (
         "SELECT DISTINCT item1, item2 FROM pairs WHERE item1 IN (SELECT k FROM it) "
         "AND item2 IN (SELECT k FROM it) AND bucket IN (SELECT bucket FROM bk)"),
@@ -564,11 +586,25 @@ ORACLE_SQL["write_baskets_csv"] = ORACLE_SQL["basket_lines_csv"]
 ORACLE_SQL["csv_basket_runs"] = _with(_BP) + (
     f"SELECT order_id, count(*) AS n_items, {_BASKET_STR} AS items FROM bp GROUP BY order_id "
     "HAVING count(*) >= 2")
-ORACLE_SQL["basket_parse_permissive"] = _with(_BP) + "SELECT order_id, item FROM bp WHERE order_id % 3 = 0"
+ORACLE_SQL["basket_parse_permissive"] = _with(_BP) + "SELECT order_id, item FROM bp WHERE order_id % 3 <> 1"
 ORACLE_SQL["pcy_pass_frequent"] = _pairs_sql() + (
     "SELECT (item1 % 100000000) * (item2 % 100000000) % 100000000 AS bucket, count(*) AS support "
     f"FROM pairs GROUP BY 1 HAVING count(*) > {PAIR_SUPPORT}")
 ORACLE_SQL["pcy_pass_groups"] = _pairs_sql() + "SELECT order_id, item1, item2 FROM pairs"
+_GROUPS_4 = (
+    "SELECT a.order_id, a.item AS item1, b.item AS item2, c.item AS item3, e.item AS item4 FROM r a "
+    "JOIN r b ON a.order_id = b.order_id AND b.rn = a.rn + 1 "
+    "JOIN r c ON a.order_id = c.order_id AND c.rn = a.rn + 2 "
+    "JOIN r e ON a.order_id = e.order_id AND e.rn > c.rn")
+ORACLE_SQL["item_groups_4"] = ORACLE_SQL["pcy_pass_3_groups"] = _with(_BP, _R) + _GROUPS_4
+ORACLE_SQL["pcy_pass_3_frequent"] = _with(_BP, _R) + (
+    "SELECT (a.item % 100000000) * (b.item % 100000000) % 100000000 * (c.item % 100000000) % 100000000 "
+    "AS bucket, count(*) AS support FROM r a JOIN r b ON a.order_id = b.order_id AND b.rn = a.rn + 1 "
+    "JOIN r c ON a.order_id = c.order_id AND c.rn > b.rn GROUP BY 1 HAVING count(*) > 0")
+ORACLE_SQL["pcy_pass_3_bitmap"] = _with(_BP, _R, f"g AS ({_GROUPS_4})") + (
+    "SELECT ((2 * item1 + 1) % 999917) * ((2 * item2 + 1) % 999917) % 999917 * ((2 * item3 + 1) % 999917) "
+    "% 999917 * ((2 * item4 + 1) % 999917) % 999917 AS bucket, count(*) AS support FROM g GROUP BY 1 "
+    f"HAVING count(*) > {PAIR_SUPPORT}")
 ORACLE_SQL["rec_upsert_merge"] = _pairs_sql(_FP.format(s=PAIR_SUPPORT), _RECS) + (
     "SELECT product_id, rec_id, support FROM (SELECT *, row_number() OVER (PARTITION BY product_id "
     f"ORDER BY support > {CANDIDATE_SUPPORT} DESC, support DESC, rec_id) AS k FROM recs) WHERE k = 1")

@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from basketry.operators.counting import (bucket_prefilter_pays, frequent_buckets,
                                          frequent_items, frequent_pairs, pair_count)
 from basketry.operators.pairs import (array_pair_occurrences, expand_occurrences,
-                                      pair_occurrences, self_join_pair_occurrences,
-                                      triple_occurrences)
+                                      group_occurrences, pair_occurrences, ranked_items,
+                                      self_join_pair_occurrences)
 from basketry.plans.pcy import pcy_candidates, pcy_pass
 from tests import brute
 from tests.conftest import arrays_df, lines_df
@@ -137,36 +137,50 @@ def test_pcy_pass_n2(spark):
     assert {r.bucket: r.support for r in bitmap3.collect()} == \
         {k: v for k, v in g3.items() if v > 1}
     assert groups3.count() == sum(len(brute.groups(b, 3)) for b in baskets.values())
-    with pytest.raises(ValueError):
-        pcy_pass(lines_df(spark, baskets), 3, 1)
 
 
-def test_pcy_pass_2_lines_equals_arrays(spark):
+@pytest.mark.parametrize("n,block_size", [(2, 4096), (3, 4096), (4, 4096), (3, 4)])
+def test_pcy_pass_n_lines_equals_arrays(spark, n, block_size):
+    """For any n; the small block size also sends larger arrays through the lines path."""
     baskets = _random_baskets(16, max_item=5)
-    a = pcy_pass(arrays_df(spark, baskets), 2, 1)
-    b = pcy_pass(lines_df(spark, baskets), 2, 1)
+    a = pcy_pass(arrays_df(spark, baskets), n, 1, block_size=None)
+    b = pcy_pass((lines_df if block_size > 9 else arrays_df)(spark, baskets), n, 1, block_size=block_size)
+    assert a[2].count() == sum(len(brute.groups(x, n + 1)) for x in baskets.values()) > 0
     for x, y in zip(a[:2], b[:2]):
         assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
     key = lambda r: (r.order_id, tuple(r.group))
     assert sorted(map(key, a[2].collect())) == sorted(map(key, b[2].collect()))
 
 
-def _triples(df):
-    return sorted((r.order_id, r.item1, r.item2, r.item3) for r in expand_occurrences(
-        df, ("order_id", "item1", "item2", "item3")).collect())
-
-
-def test_triples_on_lines_agree_with_brute_force(spark):
-    # few distinct items, so baskets repeat items often (self triples and runs)
-    baskets = _random_baskets(17, max_item=4, big=60)
-    baskets[1000] = [3, 3, 3, 3, 3]
-    baskets[1001] = [2, 3, 4, 5]
-    lines = lines_df(spark, baskets)
-    expect = sorted((oid, *g) for oid, b in baskets.items() for g in brute.groups(b, 3))
-    assert _triples(triple_occurrences(lines)) == expect
-    assert _triples(triple_occurrences(lines, None)) == expect
-    # blocked path for every basket above 3 distinct items
-    assert _triples(triple_occurrences(lines, block_size=3, sample_fraction=1.0)) == expect
+def _groups_of(df, k):
+    cols = [f"item{t}" for t in range(1, k + 1)]
+    return sorted(tuple(r) for r in expand_occurrences(df, ("order_id", *cols)).collect())
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 7])
+def test_groups_on_lines_agree_with_brute_force(spark, k):
+    # few distinct items, so baskets repeat items often (groups of one item, runs)
+    baskets = _random_baskets(17, max_item=4, big=40)
+    baskets |= {1000: [3] * 9, 1001: [2, 3, 4, 5], 1002: [9], 1003: list(range(30, 0, -1))}
+    lines = lines_df(spark, baskets).repartition(7)
+    expect = sorted((oid, *g) for oid, b in baskets.items() for g in brute.groups(b, k))
+    for block_size in (4096, None, 3, 1):
+        assert _groups_of(group_occurrences(lines, k, block_size), k) == expect, block_size
+
+
+def test_ranks_of_a_basket_over_many_chunks(spark):
+    """A basket in every range partition is counted up through all of them."""
+    items = [(i * 7919) % 5000 for i in range(5000)] + [17] * 70_000
+    baskets = {1: items, 2: [5, 5, 1]}
+    rows = ranked_items(lines_df(spark, baskets)).collect()
+    for order, basket in baskets.items():
+        ordered, at = sorted(basket), {}
+        for i, x in enumerate(ordered):
+            at.setdefault(x, i)
+        got = {r.item: (r["first"], r.mult, r.size) for r in rows if r.order_id == order}
+        assert got == {x: (i, basket.count(x), len(basket)) for x, i in at.items()}
+    from basketry.operators import pairs
+    assert pairs._positions(ranked_items(lines_df(spark, {1: [4] * 70_000}))).distinct().count() == 70_000
 
 
 def test_pcy_pass_1_lines_equals_arrays(spark):
