@@ -88,6 +88,57 @@ def shared_items(baskets: DataFrame) -> DataFrame:
     return materialized(basket_items(baskets), "basket-items")
 
 
+#: Neighbours that one step of the scan over summaries combines.
+FAN = 256
+
+
+def _stitched(summary: DataFrame, order: list[str]) -> DataFrame:
+    """``(<order>, _first_true, _offset)`` for chunk summaries ``(<order>, _first_key, _last_key, _nb)``:
+    whether the chunk's first run is a new one, and the runs that begin before the chunk.
+
+    A scan over a tree: the summaries are range-partitioned in their order and combined inside each
+    partition; the partitions' summaries, numbered in that order, are combined in groups of ``FAN``,
+    these again, until one is left; what lies to the left of a group then goes down to its members.
+    Summaries combine associatively: a first key, a last key, and the runs that begin inside if nothing
+    precedes. No window spans more than one partition of summaries or ``FAN`` of them.
+    """
+    spark = summary.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level = materialized(summary.repartitionByRange(parts, *order).withColumn("_g", F.spark_partition_id())
+                         .withColumn("_true", F.col("_nb")), "chunk-summaries")
+    levels = []
+    keys = order
+    while True:
+        w = Window.partitionBy("_g").orderBy(*keys)
+        new = F.lag(F.lit(1)).over(w).isNull() | ~F.lag("_last_key").over(w).eqNullSafe(F.col("_first_key"))
+        level = (level.withColumn("_head", F.lag(F.lit(1)).over(w).isNull())
+                 .withColumn("_new", F.when(new, 1).otherwise(0))
+                 # a member's runs if its first one only counts when it is new
+                 .withColumn("_runs", F.col("_true") - 1 + F.col("_new")))
+        level = level.withColumn("_left", F.coalesce(F.sum("_runs").over(
+            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        levels.append((level, keys))
+        if parts == 1:
+            break
+        place = F.struct(*keys)
+        level = materialized(level.groupBy(F.col("_g").alias("_i")).agg(
+            F.min_by("_first_key", place).alias("_first_key"), F.max_by("_last_key", place).alias("_last_key"),
+            F.sum("_runs").alias("_true")).withColumn("_g", F.floor(F.col("_i") / FAN).cast("int")), "group-summaries")
+        keys, parts = ["_i"], -(-parts // FAN)
+    # down again: (_new, _offset) of each group, known from the level above
+    above = None
+    for level, keys in reversed(levels):
+        if above is None:
+            known = level.withColumn("_offset", F.col("_left").cast("bigint"))
+        else:
+            group = above.select(F.col("_i").alias("_g"), F.col("_new").alias("_gnew"), F.col("_offset").alias("_goff"))
+            known = level.join(group, "_g").withColumn("_offset", (
+                F.col("_goff") + F.when(F.col("_head"), 0).otherwise(F.col("_left") - 1 + F.col("_gnew"))).cast("bigint"))
+            known = known.withColumn("_new", F.when(F.col("_head"), F.col("_gnew")).otherwise(F.col("_new")))
+        above = known
+    return above.select(*order, F.col("_new").alias("_first_true"), "_offset")
+
+
 def _runs(df: DataFrame, key: str, item: str, order: Sequence[str],
           chunk: Sequence[Column | str]) -> DataFrame:
     """Rows with a global run id ``_run`` (plus ``_key``, ``_item`` and the order columns)."""
@@ -108,14 +159,7 @@ def _runs(df: DataFrame, key: str, item: str, order: Sequence[str],
         F.min_by("_key", pos).alias("_first_key"),
         F.max_by("_key", pos).alias("_last_key"),
         F.sum("_brk").alias("_nb"))
-    w2 = Window.orderBy(*ck)
-    has_prev = F.lag(F.lit(1)).over(w2).isNotNull()
-    first_true = F.when(~has_prev | ~F.lag("_last_key").over(w2).eqNullSafe(
-        F.col("_first_key")), 1).otherwise(0)
-    summary = (summary.withColumn("_first_true", first_true)
-               .withColumn("_true", F.col("_nb") - 1 + F.col("_first_true")))
-    summary = summary.select(*ck, F.col("_first_true"), F.coalesce(F.sum("_true").over(
-        w2.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    summary = _stitched(summary, ck)
     return (local.join(summary, ck)
             .withColumn("_run", F.col("_offset") + F.col("_local") - (1 - F.col("_first_true")))
             .select("_run", "_key", "_item", *order))
@@ -128,8 +172,8 @@ def basket_run_rows(df: DataFrame, key: str, item: str, order: Sequence[str],
     Consecutive rows (in ``order``) with the same key form a run. ``chunk``
     names column(s) that cut the ordered rows into contiguous ranges (all rows
     of a chunk come before all rows of the next). Run breaks are found with a
-    window per chunk; one small window over the per-chunk summaries (one row
-    per chunk) stitches runs that cross chunk borders. Run sizes come from an
+    window per chunk; a scan over a tree of the per-chunk summaries stitches
+    runs that cross chunk borders. Run sizes come from an
     aggregate joined back, so no step gathers a run, a key or all rows in one
     task.
     """

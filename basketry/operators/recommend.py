@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.session import materialized
+from basketry.sinks.tables import write_bucketed
+
 FORWARD = "forward"
 BACKWARD = "backward"
 
@@ -41,6 +44,52 @@ def upsert_recommendations(recs: DataFrame, existing: DataFrame | None = None) -
                     F.col("_b.support").alias("support")))
 
 
+def merge_recommendations(recs: DataFrame, path: str, parts: int = 64) -> str:
+    """K6 as an incremental merge: ``recs`` upserted into the table at ``path``, made if absent.
+
+    The table is partitioned by a hash of ``product_id`` into ``parts`` folders. Only folders that ``recs``
+    has products of are read, merged (by ``upsert_recommendations``) and overwritten; all other files
+    stay as they are. The merged rows are written to shared scratch first, since they come from the
+    folders they replace.
+    """
+    spark = recs.sparkSession
+    part = F.pmod(F.xxhash64("product_id"), F.lit(parts)).cast("int").alias("part")
+    recs = recs.select("product_id", "rec_id", "support")
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    before = None
+    if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+        touched = [r["part"] for r in recs.select(part).distinct().collect()]  # at most ``parts`` numbers
+        before = spark.read.parquet(path).where(F.col("part").isin(touched)).drop("part")
+    merged = materialized(upsert_recommendations(recs, before).withColumn("part", part), "merged")
+    (merged.repartition(parts, "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("part").parquet(path))
+    return path
+
+
+def save_partners(recs: DataFrame, path: str, name: str, buckets: int = 64) -> str:
+    """Partners in both directions as table ``name``, bucketed and sorted by ``product_id``, with
+    Parquet bloom filters: either column of the recommendations is then looked up by its key."""
+    write_bucketed(both_directions(recs), path, name, "product_id", buckets, bloom=True)
+    return name
+
+
+def lookup_stored(spark, name: str, requests: DataFrame, k: int = 5, max_listed: int = 1000) -> DataFrame:
+    """C3 from the table of ``save_partners``: ``(product_id, rec_id)`` for each requested product.
+
+    Up to ``max_listed`` requests become a list in the scan's filter: buckets, row groups (sorted) and
+    bloom filters leave out what can't hold them. More meet the table bucket by bucket, without moving it.
+    """
+    stored, wanted = spark.table(name), requests.select("product_id").distinct()
+    listed = [r["product_id"] for r in wanted.limit(max_listed + 1).collect()]
+    if len(listed) <= max_listed:
+        rows = stored.where(F.col("product_id").isin([x for x in listed if x is not None]))
+    else:
+        rows = stored.join(wanted.hint("merge"), "product_id", "left_semi")
+    w = Window.partitionBy("product_id", "direction").orderBy(F.desc("support"), F.asc("rec_id"))
+    return (rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("product_id", "rec_id").distinct())
+
+
 def both_directions(recs: DataFrame) -> DataFrame:
     """Rows for each direction: ``(product_id, rec_id, support, direction)``."""
     fwd = recs.select("product_id", "rec_id", "support", F.lit(FORWARD).alias("direction"))

@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.bitmaps import bitmap_table, bitmap_words, in_bitmap
 from basketry.functions.groups import check_group_size
 from basketry.functions.hashes import PAIR_BUCKETS, SINGLE_MOD, hash_group, hash_single_group
 from basketry.operators.baskets import is_array_baskets, shared_items
@@ -30,6 +31,8 @@ from basketry.operators.counting import (bucket_counts, frequent_buckets, having
 from basketry.operators.membership import check_strategy, keep_members, prepare_side
 from basketry.operators.pairs import (DEFAULT_BLOCK_SIZE, basket_groups, expand_occurrences,
                                       pair_occurrences, ranked_items)
+from basketry.session import materialized
+from basketry.sinks.store import frequent_lines
 
 
 def pcy_filtered_pairs(baskets: DataFrame, support: int, num_buckets: int = PAIR_BUCKETS,
@@ -62,6 +65,31 @@ def filtered_by(baskets: DataFrame, items: DataFrame, buckets: DataFrame,
     return keep_members(pairs, "bucket", bucket_side)
 
 
+def bitmap_filtered_pairs(baskets: DataFrame, bitmap: DataFrame, num_buckets: int = PAIR_BUCKETS,
+                          block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """Pairs of ``baskets`` whose bucket is in a bitmap table: the bit is tested by an expression, so
+    no join on the bucket takes place."""
+    pairs = pair_buckets(pair_occurrences(baskets, block_size), num_buckets)
+    return pairs.where(in_bitmap(bitmap_words(bitmap, num_buckets), F.col("bucket")))
+
+
+def pcy_candidates_bitmap(baskets: DataFrame, support: int, num_buckets: int = PAIR_BUCKETS,
+                          item_mod: int | None = None, strategy: str = "auto",
+                          block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """C1 with the bucket filter as a bitmap: the same rows as ``pcy_candidates``."""
+    baskets = shared_items(baskets)
+    items = having_support(shared_item_counts(baskets, item_mod), support)
+    side = prepare_side(items, "item", strategy, bound_rows=item_mod)
+    buckets = frequent_buckets(pair_buckets(pair_occurrences(baskets, block_size), num_buckets), support)
+    bitmap = materialized(bitmap_table(buckets), "bitmap")
+    if is_array_baskets(baskets):
+        pairs = bitmap_filtered_pairs(baskets, bitmap, num_buckets, block_size)
+        pairs = keep_members(keep_members(pairs, "item1", side), "item2", side)
+    else:
+        pairs = bitmap_filtered_pairs(keep_members(baskets, "item", side), bitmap, num_buckets, block_size)
+    return expand_occurrences(pairs)
+
+
 def pcy_candidates(baskets: DataFrame, support: int, num_buckets: int = PAIR_BUCKETS,
                    item_mod: int | None = None, strategy: str = "auto",
                    block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
@@ -98,3 +126,13 @@ def pcy_pass(baskets: DataFrame, n: int, support: int,
     frequent_n = having_support(bucket_counts(lower, hash_n(F.col("group")), "n"), support)
     bitmap_n1 = having_support(bucket_counts(upper, hash_n1(F.col("group")), "n"), support)
     return frequent_n, bitmap_n1, expand_occurrences(upper, ["order_id", "group"])
+
+
+def pcy_candidates_from_store(store, block_size: int | None = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """C1 in store mode: candidate pairs of a store (``sinks.store``), as ``pcy_candidates`` gives them.
+
+    The basket items meet the frequent items without an exchange of either; only what is left is dealt
+    out by basket for pairing.
+    """
+    kept = materialized(frequent_lines(store), "frequent-lines")
+    return expand_occurrences(bitmap_filtered_pairs(kept, store.bitmap, store.num_buckets, block_size))

@@ -14,6 +14,7 @@ from math import gcd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.functions.bitmaps import bitmap_words, in_bitmap
 from basketry.functions.hashes import hash_pair_1000
 from basketry.operators.membership import keep_members, prepare_side
 
@@ -48,3 +49,19 @@ def probe_hits(spark: SparkSession, items: DataFrame, buckets: DataFrame, n: int
     hits = keep_members(hits, "bucket", prepare_side(buckets, "bucket", strategy))
     return hits.agg(F.lit(n).cast("bigint").alias("probes"),
                     F.count(F.lit(1)).alias("hits"))
+
+
+def probe_store(store, n: int, a: int = 719, c: int = 13, hash_fn=hash_pair_1000) -> DataFrame:
+    """One row ``(probes, hits, hit_rate)``: C6 against a saved store (``sinks.store``).
+
+    The bucket is tested first, by the stored bitmap's bits; the probes that pass meet the stored items,
+    which are read where they lie (bucketed by item), so only probes move.
+    """
+    pairs = probe_pairs(store.items.sparkSession, n, a, c).withColumn("bucket", hash_fn("i", "j"))
+    hits = pairs.where(in_bitmap(bitmap_words(store.bitmap, store.num_buckets), F.col("bucket")))
+    for member in ("i", "j"):
+        side = store.items.select(F.col("item").alias("_member")).hint("merge")
+        hits = hits.join(side, hits[member] == side["_member"], "left_semi")
+    total = F.lit(n).cast("bigint")
+    return hits.agg(total.alias("probes"), F.count(F.lit(1)).alias("hits"),
+                    (F.count(F.lit(1)) / F.greatest(total, F.lit(1))).alias("hit_rate"))

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.functions.hashes import (SINGLE_MOD, hash_pair, hash_pair_25, hash_pair_1000,
+from basketry.functions.hashes import (PROBE_MOD, SINGLE_MOD, hash_pair, hash_pair_25, hash_pair_1000,
                                        hash_single_group)
 from basketry.operators import baskets as B
 from basketry.operators import counting as C
@@ -27,14 +27,16 @@ from basketry.operators.pages import extract_unique
 from basketry.operators.pairs import (expand_occurrences, group_occurrences, pair_occurrences,
                                       self_join_pair_occurrences)
 from basketry.plans.baskets import csv_basket_lines, csv_basket_runs, order_baskets
-from basketry.plans.pcy import filtered_by, pcy_candidates, pcy_filtered_pairs, pcy_pass
-from basketry.plans.probe import coprime_multiplier, probe_hits
+from basketry.plans.pcy import (pcy_candidates, pcy_candidates_bitmap, pcy_candidates_from_store,
+                                pcy_filtered_pairs, pcy_pass)
+from basketry.plans.probe import coprime_multiplier, probe_hits, probe_store
 from basketry.plans.recommend import respond
 from basketry.session import scratch_path
+from basketry.sinks.store import close_store, open_store, save_store
 from basketry.sinks.tables import save_bitmap, save_frequent_items
 from basketry.sinks.text import write_baskets, write_pairs_text
 from basketry.sources.tables import (catalog_from_part, key_to_string, load_tables,
-                                     order_lines_from_dir, order_lines_sql)
+                                     order_lines_from_dir, order_lines_salted, order_lines_sql)
 from basketry.sources.text import read_baskets, read_order_csv, read_transactions
 
 # Parameters of the registered queries.
@@ -48,6 +50,7 @@ PROBE_ITEM_SUPPORT = 25
 PROBE_BUCKET_SUPPORT = 120
 PROBE_MULTIPLIER = 719
 PROBE_OFFSET = 13
+STORE_BUCKETS = 8        # files a stored table is laid out in
 RUN_CHUNK_ROWS = 1000    # small, so that runs cross chunks at any scale
 
 
@@ -80,6 +83,10 @@ def q_order_part_join(spark, d):
     return _lines(spark, d)
 
 
+def q_order_part_join_salted(spark, d):
+    return order_lines_salted(_t(spark, d, "orders"), _t(spark, d, "lineitem"), _t(spark, d, "part"))
+
+
 def q_key_to_string(spark, d):
     return key_to_string(_lines(spark, d))
 
@@ -235,14 +242,15 @@ def q_pcy_candidates_raw(spark, d):
     return pcy_candidates(_lines(spark, d), CANDIDATE_SUPPORT)
 
 
+def q_pcy_candidates_bitmap(spark, d):
+    return pcy_candidates_bitmap(_lines(spark, d), CANDIDATE_SUPPORT)
+
+
 def q_pcy_candidates_store(spark, d):
-    """Both filters saved as tables by one run and read back by another."""
-    items = save_frequent_items(C.frequent_items(_lines(spark, d), CANDIDATE_SUPPORT),
-                                scratch_path(spark, "store_items"))
-    bitmap = save_bitmap(C.frequent_buckets(self_join_pair_occurrences(_lines(spark, d)),
-                                            CANDIDATE_SUPPORT), scratch_path(spark, "store_bitmap"))
-    pairs = filtered_by(_lines(spark, d), spark.read.parquet(items), spark.read.parquet(bitmap))
-    return expand_occurrences(pairs)
+    """Filters and basket items saved by one run, opened and joined in place by another."""
+    path = save_store(_lines(spark, d), CANDIDATE_SUPPORT, scratch_path(spark, "store"), STORE_BUCKETS)
+    close_store(spark, path)  # the next run's catalog knows nothing
+    return pcy_candidates_from_store(open_store(spark, path, STORE_BUCKETS))
 
 
 def q_pcy_candidates_shuffle(spark, d):
@@ -311,10 +319,11 @@ def q_write_baskets_csv(spark, d):
 
 
 def q_rec_upsert_merge(spark, d):
-    """Partners of high support merged into the table that an earlier run kept of all."""
+    """Partners of high support merged into the stored table that an earlier run kept of all."""
     recs = _recs(spark, d)
-    before = R.upsert_recommendations(recs)
-    return R.upsert_recommendations(recs.where(F.col("support") > CANDIDATE_SUPPORT), before)
+    path = R.merge_recommendations(recs, scratch_path(spark, "recs"), STORE_BUCKETS)
+    R.merge_recommendations(recs.where(F.col("support") > CANDIDATE_SUPPORT), path, STORE_BUCKETS)
+    return spark.read.parquet(path).drop("part")
 
 
 def q_fp_growth(spark, d):
@@ -364,6 +373,12 @@ def q_rec_lookup(spark, d):
     return R.lookup(_recs(spark, d), _requests(spark, d), TOP_K)
 
 
+def q_rec_lookup_stored(spark, d):
+    path = scratch_path(spark, "partners")
+    name = R.save_partners(_recs(spark, d), path, f"basketry_partners_{path[-12:]}", STORE_BUCKETS)
+    return R.lookup_stored(spark, name, _requests(spark, d), TOP_K)
+
+
 def q_rec_enrich(spark, d):
     return respond(_requests(spark, d), _recs(spark, d),
                    catalog_from_part(_t(spark, d, "part")), TOP_K)
@@ -386,6 +401,15 @@ def q_probe_random_pairs(spark, d):
     return probe_hits(spark, items, buckets, n, a, PROBE_OFFSET)
 
 
+def q_probe_saved(spark, d):
+    """The probe of ``probe_random_pairs`` against a store that an earlier run saved."""
+    path = save_store(_lines(spark, d), PROBE_ITEM_SUPPORT, scratch_path(spark, "probe_store"), STORE_BUCKETS,
+                      PROBE_MOD, hash_fn=hash_pair_1000, bucket_support=PROBE_BUCKET_SUPPORT)
+    n = _t(spark, d, "part").count()
+    return probe_store(open_store(spark, path, STORE_BUCKETS, PROBE_MOD), n, coprime_multiplier(n, PROBE_MULTIPLIER),
+                       PROBE_OFFSET)
+
+
 def q_page_extract(spark, d):
     return extract_unique(_t(spark, d, "pages"), "ad")
 
@@ -582,6 +606,11 @@ ORACLE_SQL: dict[str, str] = {
 }
 ORACLE_SQL["pcy_candidates_raw"] = ORACLE_SQL["pcy_candidates"].replace("item % 100000000 AS k", "item AS k")
 ORACLE_SQL["pcy_candidates_store"] = ORACLE_SQL["pcy_candidates_raw"]
+ORACLE_SQL["order_part_join_salted"] = ORACLE_SQL["order_part_join"]
+ORACLE_SQL["pcy_candidates_bitmap"] = ORACLE_SQL["pcy_candidates_raw"]
+ORACLE_SQL["rec_lookup_stored"] = ORACLE_SQL["rec_lookup"]
+ORACLE_SQL["probe_saved"] = (
+    f"SELECT probes, hits, hits / probes AS hit_rate FROM ({ORACLE_SQL['probe_random_pairs']})")
 ORACLE_SQL["write_baskets_csv"] = ORACLE_SQL["basket_lines_csv"]
 ORACLE_SQL["csv_basket_runs"] = _with(_BP) + (
     f"SELECT order_id, count(*) AS n_items, {_BASKET_STR} AS items FROM bp GROUP BY order_id "

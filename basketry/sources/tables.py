@@ -45,6 +45,47 @@ def order_lines(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> Data
     return li.join(p, "item").join(o, "order_id").select("order_id", "item")
 
 
+#: Keys with at least this share (1 / HEAVY) of all lines are spread; at most so many exist.
+HEAVY = 64
+
+
+def heavy_keys(lines: DataFrame, key: str, heavy: int = HEAVY) -> list:
+    """Keys with about 1 / ``heavy`` of the rows of ``lines`` or more, by a sketch of bounded size.
+
+    Every task keeps a top-items sketch, and Spark merges them; nothing is shuffled but sketches. The
+    list only decides how rows are dealt out, so an estimate is enough.
+    """
+    top = lines.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({key}, {2 * heavy}, {64 * heavy})").alias("t")).first()
+    return [x["item"] for x in top["t"] or () if x["count"] * heavy >= top["n"] and x["item"] is not None]
+
+
+def salted_join(lines: DataFrame, side: DataFrame, key: str, hot: list, salts: int) -> DataFrame:
+    """``lines`` joined with ``side`` on ``key``; lines of ``hot`` keys are dealt over ``salts`` keys by a hash of
+    the row, and only the hot keys' rows of ``side`` are repeated for each."""
+    if not hot:
+        return lines.join(side, key)
+    salt = F.pmod(F.xxhash64(*lines.columns), F.lit(salts)).cast("int")
+    dealt = lines.withColumn("_salt", F.when(F.col(key).isin(hot), salt).otherwise(F.lit(0)))
+    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(side.withColumn("_salt", F.explode(copies)), [key, "_salt"]).drop("_salt")
+
+
+def order_lines_salted(orders: DataFrame, lineitem: DataFrame, part: DataFrame, salts: int = 32,
+                       heavy: int = HEAVY, row_id: str = "l_linenumber") -> DataFrame:
+    """J1 + P1 for skewed keys: the rows of ``order_lines``, with heavy orders and items spread over tasks.
+
+    Heavy keys are found by a sketch over the two key columns (one more scan of them). ``row_id`` tells
+    apart lines of the same order and item, so that they are dealt out too. This doesn't depend on
+    adaptive execution or broadcasts.
+    """
+    o = orders.select(F.col("o_orderkey").alias("order_id"))
+    li = lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("item"),
+                         F.col(row_id).alias("_row")).dropna(subset=["order_id", "item"])
+    p = part.select(F.col("p_partkey").alias("item"))
+    joined = salted_join(li, p, "item", heavy_keys(li, "item", heavy), salts)
+    return salted_join(joined, o, "order_id", heavy_keys(li, "order_id", heavy), salts).select("order_id", "item")
+
+
 def order_lines_from_dir(spark: SparkSession, base_dir: str) -> DataFrame:
     t = load_tables(spark, base_dir, DEFAULT_TABLES, register=False)
     return order_lines(t["orders"], t["lineitem"], t["part"])
