@@ -57,8 +57,11 @@ def anchor_hashes(x: np.ndarray) -> np.ndarray:
     h4 = h2[:-2] * _power(2) + h2[2:]
     h8 = h4[:-4] * _power(4) + h4[4:]
     h16 = h8[:-8] * _power(8) + h8[8:]
-    h = h16[:len(x) - ANCHOR + 1] * _power(4) + h4[16:]
-    h ^= h >> np.uint64(31)
+    return _mixed(h16[:len(x) - ANCHOR + 1] * _power(4) + h4[16:])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
@@ -70,7 +73,13 @@ def anchor_runs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
     ``starts`` and ``ends`` bound the texts inside ``x``; windows never cross texts.
     """
-    out = [[], [], [], []]
+    first, place = run_heads(x, starts, ends)
+    return runs_from(x, starts, ends, first, place)
+
+
+def run_heads(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, place of the anchor) of each run of windows that share one."""
+    out = [[], []]
     width = SPAN - ANCHOR + 1
     last = np.full(len(x), -1, np.int64)   # last window start of the text at each place, or -1
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -92,14 +101,24 @@ def anchor_runs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         of = number[a + good]
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])]))
         out[0].append(good[new] + a)
-        out[1].append(np.diff(np.append(new, len(good))))
-        out[2].append(of[new])
-        out[3].append(h[place[new]])
+        out[1].append(place[new] + a)
     if not out[0]:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in out)
 
 
+def runs_from(x, starts, ends, first, place):
+    """(first window, windows, text number, anchor hash) from a block's run heads: a run goes on to the
+    next one or to its text's last window, and only the anchors themselves are hashed."""
+    text = np.searchsorted(starts, first, "right") - 1
+    behind = np.append(first[1:], len(x))
+    count = np.minimum(behind, ends[text] - SPAN + 1) - first if len(first) else first
+    h = np.zeros(len(first), np.uint64)
+    for k in range(ANCHOR):
+        h = h * _power(1) + x[place + k] + np.uint64(1)
+    return first, count, text, _mixed(h)
+
+
 class Block:
     """Texts of one block row, in the order of their ids; those without an id come last."""
 
@@ -111,7 +130,13 @@ class Block:
         self.ends = np.cumsum(size)
         self.starts = self.ends - size
         self.x = np.frombuffer(self.raw, np.uint8)
-        self.runs = anchor_runs(self.x, self.starts[self.named], self.ends[self.named])
+        starts, ends = self.starts[self.named], self.ends[self.named]
+        if "heads" in row:  # found when the block was packed
+            first = np.flatnonzero(np.unpackbits(np.frombuffer(row["heads"], np.uint8), count=len(self.x)))
+            place = first + np.frombuffer(row["anchors"], np.uint8)
+            self.runs = runs_from(self.x, starts, ends, first, place)
+        else:
+            self.runs = anchor_runs(self.x, starts, ends)
 
     def keys(self, groups: int):
         """By group: (group, sorted distinct hashes, whether two texts of the block have them)."""
@@ -181,6 +206,33 @@ def group_of(h: np.ndarray, groups: int) -> np.ndarray:
     return ((h >> np.uint64(24)) % np.uint64(groups)).astype(np.int64)
 
 
+def by_words(places: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """``places`` in the order of the 56 bytes from each, eight at a time: only ties look at the next."""
+    key = word[places]
+    order = np.argsort(key)
+    key, places = key[order], places[order]
+    new = np.ones(len(places), bool)
+    new[1:] = key[1:] != key[:-1]
+    for d in (8, 16, 24, 32, 40, 48):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        key = word[places[at] + d]
+        order = np.argsort(key)
+        step = np.ones(len(at), np.int64)
+        step[1:] = key[order[1:]] != key[order[:-1]]
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.cumsum(step)
+        key = np.cumsum(new[at]) * (len(at) + 1) + rank  # tie first, then the next eight bytes
+        order = np.argsort(key)
+        key = key[order]
+        places[at] = places[at][order]
+        new[at[1:]] |= key[1:] != key[:-1]
+    return places
+
+
 def two_stage_order(x: np.ndarray, wanted: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Places of ``wanted`` (ascending) in the order of their suffixes, to 50 bytes.
 
@@ -191,7 +243,7 @@ def two_stage_order(x: np.ndarray, wanted: np.ndarray, word: np.ndarray) -> np.n
     """
     head, nxt = x[wanted], x[wanted + 1]
     direct = wanted[head <= nxt]
-    direct = direct[np.lexsort([word[direct + d] for d in (48, 40, 32, 24, 16, 8, 0)])]
+    direct = by_words(direct, word)
     induced = np.zeros(len(x) + 1, bool)
     induced[wanted[head > nxt]] = True
     split = np.searchsorted(x[direct], np.arange(257))
@@ -224,8 +276,16 @@ def eight_bytes(x: np.ndarray) -> np.ndarray:
 def repeated_windows(strings: list[bytes], counts: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
     """For each string, which of its first ``counts`` windows also occur with a smaller id."""
     size = np.fromiter(map(len, strings), np.int64, len(strings))
+    gone = windows_gone(np.frombuffer(b"".join(strings), np.uint8), size, counts, ids)
+    return np.split(gone, np.cumsum(counts)[:-1]) if len(strings) else []
+
+
+def windows_gone(raw: np.ndarray, size: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The same for strings of the given sizes, one behind the other; all their windows in that order."""
     # 255 is in no UTF-8 text: behind each string, it makes the string's last byte a direct place
-    x = np.frombuffer(b"\xff".join(strings) + b"\xff" + b"\0" * 64, np.uint8)
+    x = np.full(len(raw) + len(size) + 64, 255, np.uint8)
+    x[len(raw) + len(size):] = 0
+    x[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw
     starts = np.cumsum(size + 1) - size - 1
     ends = starts + size
     # sorted: the windows, and the places behind the last one up to a direct one
@@ -234,7 +294,7 @@ def repeated_windows(strings: list[bytes], counts: np.ndarray, ids: np.ndarray)
     last = np.minimum(direct_at[np.searchsorted(direct_at, starts + counts - 1)], ends - 1)
     n = last - starts + 1
     wanted = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
-    owner = np.repeat(np.arange(len(strings)), n)
+    owner = np.repeat(np.arange(len(size)), n)
     word = eight_bytes(x)
     order = two_stage_order(x, wanted, word)
     place = np.zeros(len(x), np.int64)
@@ -249,13 +309,12 @@ def repeated_windows(strings: list[bytes], counts: np.ndarray, ids: np.ndarray)
     head = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
     mine = ids[owner[line]]
     least = np.minimum.reduceat(mine, head) if len(head) else mine
-    gone = mine > np.repeat(least, np.diff(np.append(head, len(order))))
     flags = np.zeros(len(x), bool)
-    flags[order] = gone
-    return [flags[a:a + c] for a, c in zip(starts.tolist(), counts.tolist(), strict=True)]
+    flags[order] = mine > np.repeat(least, np.diff(np.append(head, len(order))))
+    return flags[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
 
 
-_BLOCK = "raw binary, ids binary, named binary, sizes binary"
+_BLOCK = "raw binary, ids binary, named binary, sizes binary, heads binary, anchors binary"
 
 
 def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -265,12 +324,20 @@ def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
 
         def row():
             now.sort(key=lambda r: (r[0] is None, r[0] or 0))
+            raw = b"".join(t for _, t in now)
+            x = np.frombuffer(raw, np.uint8)
+            ends = np.cumsum([len(t) for i, t in now if i is not None], dtype=np.int64)  # rows without an id lie behind
+            first, place = run_heads(x, np.append(0, ends)[:-1], ends)
+            heads = np.zeros(len(x), bool)
+            heads[first] = True
             return pa.RecordBatch.from_arrays(
-                [pa.array([zlib.compress(b"".join(t for _, t in now), 1)], pa.binary()),
+                [pa.array([zlib.compress(raw, 1)], pa.binary()),
                  pa.array([np.array([i or 0 for i, _ in now], np.int64).tobytes()], pa.binary()),
                  pa.array([np.array([i is not None for i, _ in now], np.uint8).tobytes()], pa.binary()),
-                 pa.array([np.array([len(t) for _, t in now], np.int64).tobytes()], pa.binary())],
-                names=["raw", "ids", "named", "sizes"])
+                 pa.array([np.array([len(t) for _, t in now], np.int64).tobytes()], pa.binary()),
+                 pa.array([np.packbits(heads).tobytes()], pa.binary()),
+                 pa.array([(place - first).astype(np.uint8).tobytes()], pa.binary())],
+                names=["raw", "ids", "named", "sizes", "heads", "anchors"])
 
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
@@ -302,7 +369,7 @@ def _rows(batches, columns):
             yield {c: batch.column(c)[k].as_py() for c in columns}
 
 
-_PACKED = ("block", "raw", "ids", "named", "sizes")
+_PACKED = ("block", "raw", "ids", "named", "sizes", "heads", "anchors")
 
 
 def _send_keys(groups):
@@ -364,46 +431,62 @@ def _send_strings(groups):
     def run(batches):
         for row in _rows(batches, (*_PACKED, "marks")):
             _, strings = Block(row).snippets(groups, _marks(row))
-            by: dict[int, list[int]] = {}
-            for k, (_, _, _, g) in enumerate(strings):
-                by.setdefault(g, []).append(k)
-            todo = list(by.items())
+            count, ids, group = (np.fromiter((x[i] for x in strings), np.int64, len(strings)) for i in (1, 2, 3))
+            order = np.argsort(group, kind="stable")
+            cut = np.flatnonzero(np.diff(group[order])) + 1
+            todo = np.split(order, cut) if len(order) else []
             for a in range(0, len(todo), 64):
                 some = todo[a:a + 64]
-                pick = lambda f, kind: pa.array(
-                    [np.array([f(strings[k]) for k in ks], kind).tobytes() for _, ks in some], pa.binary())
+                packed = lambda column, kind: pa.array([column[ks].astype(kind).tobytes() for ks in some], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]] * len(some), pa.int64()), pa.array([g for g, _ in some], pa.int32()),
-                     pa.array([np.array(ks, np.int32).tobytes() for _, ks in some], pa.binary()),
-                     pick(lambda s: s[1], np.int32), pick(lambda s: s[2], np.int64),
-                     pa.array([b"".join(strings[k][0] for k in ks) for _, ks in some], pa.binary())],
+                    [pa.array([row["block"]] * len(some), pa.int64()), pa.array([int(group[ks[0]]) for ks in some], pa.int32()),
+                     pa.array([ks.astype(np.int32).tobytes() for ks in some], pa.binary()),
+                     packed(count, np.int32), packed(ids, np.int64),
+                     pa.array([b"".join([strings[k][0] for k in ks.tolist()]) for ks in some], pa.binary())],
                     names=["block", "g", "which", "counts", "ids", "bytes"])
     return run
 
 
+def _gone_of(raw: bytes, counts: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """``windows_gone`` with equal strings sorted once: all windows of one whose equal has a smaller id
+    are gone, and the least id decides for the others."""
+    size = counts + SPAN - 1
+    known: dict[bytes, int] = {}
+    which, at = np.empty(len(counts), np.int64), 0
+    for k, n in enumerate(size.tolist()):
+        which[k] = known.setdefault(raw[at:at + n], len(known))
+        at += n
+    least = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, ids)
+    one = np.fromiter(map(len, known), np.int64, len(known))
+    single = windows_gone(np.frombuffer(b"".join(known), np.uint8), one, one - SPAN + 1, least)
+    first = np.cumsum(one - SPAN + 1) - (one - SPAN + 1)
+    place = np.repeat(first[which] - begin, counts) + np.arange(int(counts.sum()))
+    return single[place] | np.repeat(ids > least[which], counts)
+
+
 def _judge(table: pa.Table) -> pa.Table:
     """Verdicts of one group: strings with repeated windows, as (which, bits), by block."""
-    numbers, strings, counts, ids, sizes = [], [], [], [], []
-    for k in range(table.num_rows):
-        which = np.frombuffer(table.column("which")[k].as_py(), np.int32)
-        count = np.frombuffer(table.column("counts")[k].as_py(), np.int32).astype(np.int64)
-        raw, at = table.column("bytes")[k].as_py(), 0
-        for n in (count + SPAN - 1).tolist():
-            strings.append(raw[at:at + n])
-            at += n
-        numbers.append(which)
-        counts.append(count)
-        ids.append(np.frombuffer(table.column("ids")[k].as_py(), np.int64))
-        sizes.append(len(which))
-    gone = repeated_windows(strings, np.concatenate(counts), np.concatenate(ids))
+    cells = {c: table.column(c).to_pylist() for c in ("block", "which", "counts", "ids", "bytes")}
+    which = [np.frombuffer(w, np.int32) for w in cells["which"]]
+    counts = np.frombuffer(b"".join(cells["counts"]), np.int32).astype(np.int64)
+    begin = np.cumsum(counts) - counts
+    gone = _gone_of(b"".join(cells["bytes"]), counts, np.frombuffer(b"".join(cells["ids"]), np.int64), begin)
+    del cells["bytes"]
+    hit = np.logical_or.reduceat(gone, begin) if len(counts) else np.zeros(0, bool)
+    # the bits of each string fill whole bytes
+    wide = (counts + 7) // 8
+    bits = np.zeros(8 * int(wide.sum()), bool)
+    bits[np.repeat(8 * (np.cumsum(wide) - wide) - begin, counts) + np.arange(len(gone))] = gone
+    packed, edge = np.packbits(bits), np.append(0, np.cumsum(wide))
     blocks, out_which, out_bits, at = [], [], [], 0
-    for block, which in zip(table.column("block").to_pylist(), numbers, strict=True):
-        hit = [k for k in range(len(which)) if gone[at + k].any()]
-        if hit:
+    for block, some in zip(cells["block"], which, strict=True):
+        end = at + len(some)
+        if hit[at:end].any():
             blocks.append(block)
-            out_which.append(which[hit].tobytes())
-            out_bits.append(b"".join(np.packbits(gone[at + k]).tobytes() for k in hit))
-        at += len(which)
+            out_which.append(some[hit[at:end]].tobytes())
+            out_bits.append(packed[edge[at]:edge[end]][np.repeat(hit[at:end], wide[at:end])].tobytes())
+        at = end
     return pa.Table.from_arrays([pa.array(blocks, pa.int64()), pa.array(out_which, pa.binary()),
                                  pa.array(out_bits, pa.binary())], names=["block", "which", "bits"])
 
