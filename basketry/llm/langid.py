@@ -233,6 +233,9 @@ def identify(docs: DataFrame, train_chars: int = 160_000) -> DataFrame:
 
 
 def determined(docs: DataFrame, train_chars: int = 160_000) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told; texts without a letter go."""
+    """The rows of ``docs``, all columns, whose language can be told; texts without a letter go. Where no
+    row is labelled, nothing can be learnt, and all texts with a letter stay."""
     parser, _ = learn(docs, train_chars)
+    if not parser.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return restored(classify(with_rest(docs), parser).filter(F.col("lang_pred") != UNDETERMINED), docs)

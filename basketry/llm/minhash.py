@@ -270,6 +270,21 @@ def _member_sets(docs: DataFrame, first: DataFrame, width: int) -> DataFrame:
     return picked.select("sid", "text").mapInArrow(run, "sid long, shingles array<long>").dropDuplicates(["sid"])
 
 
+def _bare_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(sid, shingles) of the sets ``wanted`` (sid) that only rows without an id have: no key leads to
+    their texts, so the sets of all such rows are made again and met by sid."""
+    def run(batches):
+        hashes = WordHash()
+        for part in slices(batches):
+            sets = [s for t in texts_of(part.column("text")) if len(s := shingle_set(t, hashes, width))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_digest(s) for s in sets], pa.int64()),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "sid long, shingles array<long>").join(
+        wanted, "sid", "left_semi").dropDuplicates(["sid"])
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS,
                     side: int = SIDE, seed: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (integer doc_id, text).
@@ -302,7 +317,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         used = members.select("sid").distinct()
         first = row.filter("doc_id IS NOT NULL").join(used, "sid", "left_semi").groupBy("sid").agg(
             F.min("doc_id").alias("doc_id"))
-        sets = staged(_member_sets(docs, staged(first, "first"), width), "sets")
+        first = staged(first, "first")
+        sets = _member_sets(docs, first, width)
+        bare = docs.filter("doc_id IS NULL")
+        if not bare.isEmpty():
+            sets = sets.unionByName(_bare_sets(bare, used.join(first, "sid", "left_anti"), width))
+        sets = staged(sets, "sets")
         links = staged(_confirmed(_pairs(near), sets, percent), "links0")
         comp = components(links)
         # then the open buckets against their most typical set

@@ -161,14 +161,40 @@ def test_lines(llm, odd, empty):
                        (9, "ab cd. One two three four five. And then something quite new"), (None, "One two three four five.")])
     got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["spans"]) for r in linededup.dedup_report(docs).collect()}
     # a line and its only sentence are two units; rows that share an id count together
-    assert got == {5: (2, 1, "0:24"), 2: (2, 0, ""), 9: (6, 1, "7:31"), None: (1, 1, "0:24")}
+    assert got == {5: (3, 2, "0:24,55:64"), 2: (4, 0, ""), 9: (6, 1, "7:31"), None: (1, 1, "0:24")}
     text = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
-    assert text[5] == "\nunique line of this very text\nshort one" and text[None] == ""
+    assert text[5] == "\nunique line of this very text\n" and text[None] == ""
     assert text[9] == "ab cd.  And then something quite new"
     assert linededup.dedup_report(odd).count() == odd.count()
     assert linededup.dedup_report(empty).count() == 0
 
 
+def test_short_lines_and_scripts_without_spaces(llm):
+    zh = "\u8fd9\u662f\u4e00\u4e2a\u6ca1\u6709\u7a7a\u683c\u7684\u6bb5\u843d"
+    long = zh * 2
+    docs = frame(llm, [(1, f"Menu\n{zh}\n  \nIs this the passage that was copied? yes"), (2, f"menu\n{zh}"),
+                       (3, f"x\u3002{long}\u3002y other {long}\uff01"),
+                       (4, f"before {long}\uff1f\n{long}\u3002 then Is this the passage that was copied? no")])
+    got = {r["doc_id"]: r["spans"] for r in linededup.dedup_report(docs).collect()}
+    sentence = len(f"before {long}?\n{long}.")
+    assert got == {1: "", 2: f"0:4,5:{5 + len(zh)}", 3: "", 4: f"{len('before ' + long) + 2}:{sentence}"}
+    assert linededup.units_of("a\n\n \nb. c") == [(0, 1, "a"), (5, 9, "b. c")]
+
+
+def test_links_through_a_row_without_an_id(llm):
+    """1 ~ n ~ 9, where n has no id: all of them are one component."""
+    words = [f"w{i}" for i in range(60)]
+    first, middle, last = words, words[:54] + [f"m{i}" for i in range(6)], words[:48] + [f"z{i}" for i in range(6)] + [f"m{i}" for i in range(6)]
+    rows = [(1, " ".join(first)), (None, " ".join(middle)), (9, " ".join(last)), (20, "quite another text of its own")]
+    for bridge in (5, None):
+        docs = frame(llm, [(bridge, t) if d is None else (d, t) for d, t in rows])
+        want = brute_components([(bridge if d is None else d, t) for d, t in rows], 1)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, width=1).collect()}
+        assert got[1] == got[9] == got[bridge] == 1 and got[20] == 20, (bridge, got, want)
+    kept = minhash.one_of_each(frame(llm, rows), width=1).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 20]
+
+
 def test_strings_around_a_common_phrase_are_spread(llm):
     """A phrase in every text with other text around it doesn't put all its strings in one group."""
     rnd = random.Random(12)
