@@ -24,6 +24,8 @@ word shares its number with another word; if one did, the next seed is taken.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,7 +45,9 @@ HOT = 1024
 #: Bits of the bitmap of frequent words, in powers of two (2^26 bits: 8 MB).
 BITMAP_POWER = 26
 #: Word occurrences a group of routed suffixes holds on average.
-GROUP_WORDS = 1_200_000
+GROUP_WORDS = 2_000_000
+#: Suffixes a task gathers before it sends them: the more, the fewer words are named twice.
+SEND_SUFFIXES = 2_000_000
 #: Piece ends, then word ends; everything else belongs to a word.
 CLASSES = byte_table(".,;:!?\n\x0b\x0c\r", 2) + byte_table(" \t", 1)
 NO_WORD = -1
@@ -201,41 +205,60 @@ def merged(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[order[at]], np.add.reduceat(weights[order], at)
 
 
-def _send(batch, seed, bits, power, hot_paths, groups):
-    """Packed suffixes of a block for each group: group, lang, numbers of the words used, codes, weights."""
+def _block(batch, seed, bits, power):
+    """(rows, weights, numbers, names) of a block: each distinct suffix as its language's code and DEPTH codes
+    of words, how often it occurs, and what the codes stand for."""
     codes, distinct, numbers, piece, row = _words(batch, seed)
-    if not len(codes):
-        return
     lang_of, names = _languages(batch.column("lang"))
     rows, place = suffixes(codes, piece, in_bitmap(bits, numbers, power))
-    key, weights = merged(np.column_stack([lang_of[row[place]].astype(np.int32), rows]), np.ones(len(rows), np.int64))
+    used = np.flatnonzero(np.bincount(rows.ravel() + 1, minlength=len(numbers) + 1)[1:])
+    lookup = np.full(len(numbers) + 1, NO_WORD, np.int32)  # the last place stands for no word
+    lookup[used] = np.arange(len(used))
+    rows = np.column_stack([lang_of[row[place]].astype(np.int32), lookup[rows]])
+    return *merged(rows, np.ones(len(rows), np.int64)), numbers[used], names
+
+
+def _squeezed(column: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(column), codec="zstd", asbytes=True)
+
+
+def _packed(blocks: list, hot_paths, groups):
+    """The suffixes of some blocks for each group: group, lang, numbers of the words used, codes column by
+    column, weights, depths of their routes, how many."""
+    names = sorted({x for *_, n in blocks for x in n})
+    numbers, place = np.unique(np.concatenate([x for _, _, x, _ in blocks]), return_inverse=True)
+    place = np.split(place.astype(np.int32), np.cumsum([len(x) for _, _, x, _ in blocks])[:-1])
+    for (rows, _, _, own), to in zip(blocks, place, strict=True):
+        rows[:, 0] = np.array([names.index(x) for x in own], np.int32)[rows[:, 0]] if len(rows) else rows[:, 0]
+        rows[:, 1:] = np.append(to, np.int32(NO_WORD))[rows[:, 1:]]
+    key, weights = np.concatenate([x[0] for x in blocks]), np.concatenate([x[1] for x in blocks])
+    blocks.clear()
+    key, weights = merged(key, weights)
     if not len(key):
         return
     paths = _paths(names, key[:, 0], numbers, [key[:, k] for k in range(1, DEPTH + 1)])
     depth = 2 + np.isin(paths[1], hot_paths).astype(np.uint8)
     depth += (depth == 3) & np.isin(paths[2], hot_paths)
     group = np.choose(depth - 2, paths[1:]) % np.uint64(groups)
+    del paths
     order = np.argsort(group * np.uint64(len(names)) + key[:, 0].astype(np.uint64), kind="stable")
     key, weights, group, depth = key[order], weights[order], group[order].astype(np.int64), depth[order]
     cut = np.flatnonzero((np.diff(group) != 0) | (np.diff(key[:, 0]) != 0)) + 1
-    lookup = np.full(len(numbers) + 1, NO_WORD, np.int32)  # the last place stands for no word
+    lookup = np.full(len(numbers) + 1, NO_WORD, np.int32)
     for lo, hi in zip([0, *cut], [*cut, len(key)], strict=True):
         some = key[lo:hi, 1:]
-        if hi - lo > len(numbers) // 32:
-            seen = np.zeros(len(numbers) + 1, bool)
-            seen[some] = True
-            used = np.flatnonzero(seen[:-1])
-        else:
-            used = np.unique(some)
-            used = used[used != NO_WORD]
+        used = np.unique(some)
+        used = used[used != NO_WORD]
         lookup[used] = np.arange(len(used))
         width = np.int16 if len(used) < 1 << 15 else np.int32
         weight = weights[lo:hi]
-        yield (int(group[lo]), names[key[lo, 0]], numbers[used].tobytes(), lookup[some].astype(width).tobytes(),
-               weight.astype(np.int64 if weight.max() > 255 else np.uint8).tobytes(), depth[lo:hi].tobytes(), hi - lo)
+        # numbers ascend: their differences have leading zeros
+        steps = np.diff(numbers[used], prepend=np.int64(0)).view(np.uint8).reshape(-1, 8)
+        yield (int(group[lo]), names[key[lo, 0]], _squeezed(steps.T), _squeezed(lookup[some].astype(width).T),
+               _squeezed(weight), _squeezed(depth[lo:hi]), hi - lo, np.dtype(width).itemsize, len(used))
 
 
-SENT = "group long, lang string, numbers binary, codes binary, weights binary, depths binary, m long"
+SENT = "group long, lang string, numbers binary, codes binary, weights binary, depths binary, m long, width int, used int"
 
 
 def routed(docs: DataFrame, seed: int, bits: np.ndarray, power: int, hot: np.ndarray, groups: int) -> DataFrame:
@@ -243,13 +266,23 @@ def routed(docs: DataFrame, seed: int, bits: np.ndarray, power: int, hot: np.nda
 
     def send(batches):
         bits, hot = shared.value
-        for batch in chunks(batches):
-            rows = list(_send(batch, seed, bits, power, hot, groups))
-            for at in range(0, len(rows), 256):
-                part = list(zip(*rows[at:at + 256], strict=True))
+        kinds = (pa.int64(), pa.string(), *[pa.binary()] * 4, pa.int64(), pa.int32(), pa.int32())
+        held = []
+
+        def sent():
+            rows = _packed(held, hot, groups)
+            while part := list(islice(rows, 256)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.string(), *[pa.binary()] * 4, pa.int64()), strict=True)],
-                    ["group", "lang", "numbers", "codes", "weights", "depths", "m"])
+                    [pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)],
+                    ["group", "lang", "numbers", "codes", "weights", "depths", "m", "width", "used"])
+
+        for batch in chunks(batches):
+            held.append(_block(batch, seed, bits, power))
+            if sum(len(x[0]) for x in held) >= SEND_SUFFIXES:
+                yield from sent()
+                held = []
+        if held:
+            yield from sent()
 
     return docs.mapInArrow(send, SENT)
 
@@ -259,20 +292,22 @@ def unpacked(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, lis
     its language and DEPTH codes of words; ``numbers`` are the codes' word numbers, in their order."""
     cells = table.to_pydict()
     names = sorted(set(cells["lang"]))
-    own = [np.frombuffer(x, np.int64) for x in cells["numbers"]]
+    own = [np.cumsum(np.ascontiguousarray(np.frombuffer(pa.decompress(x, 8 * n, "zstd"), np.uint8).reshape(8, n).T).view(np.int64).ravel())
+           for x, n in zip(cells["numbers"], cells["used"], strict=True)]
     numbers, place = np.unique(np.concatenate(own), return_inverse=True)
     place = np.split(place.astype(np.int32), np.cumsum([len(x) for x in own])[:-1])
     total = sum(cells["m"])
-    rows, weights = np.empty((total, 1 + DEPTH), np.int32), np.empty(total, np.int64)
+    rows, weights, depths = np.empty((total, 1 + DEPTH), np.int32), np.empty(total, np.int64), np.empty(total, np.uint8)
     at = 0
     for i, m in enumerate(cells["m"]):
-        codes, weight = cells["codes"][i], cells["weights"][i]
-        codes = np.frombuffer(codes, np.int16 if len(codes) == 2 * m * DEPTH else np.int32).reshape(m, DEPTH)
+        width = cells["width"][i]
+        codes = np.frombuffer(pa.decompress(cells["codes"][i], m * DEPTH * width, "zstd"), f"<i{width}").reshape(DEPTH, m).T
         rows[at:at + m, 0] = names.index(cells["lang"][i])
         rows[at:at + m, 1:] = np.append(place[i], np.int32(NO_WORD))[codes]  # the last place: no word
-        weights[at:at + m] = np.frombuffer(weight, np.uint8 if len(weight) == m else np.int64)
+        weights[at:at + m] = np.frombuffer(pa.decompress(cells["weights"][i], m * 8, "zstd"), np.int64)
+        depths[at:at + m] = np.frombuffer(pa.decompress(cells["depths"][i], m, "zstd"), np.uint8)
         at += m
-    return rows, weights, np.frombuffer(b"".join(cells["depths"]), np.uint8), numbers, names
+    return rows, weights, depths, numbers, names
 
 
 def three_way(rows: np.ndarray, weights: np.ndarray, min_weight: int):
@@ -283,12 +318,12 @@ def three_way(rows: np.ndarray, weights: np.ndarray, min_weight: int):
     a pivot splits each into less, equal and greater; the equal part is complete and goes one column
     deeper, the others go on while they are heavy enough. Negative values end a row.
     """
-    pointer = np.arange(len(rows), dtype=np.int64)
-    part = np.zeros(len(rows), np.int64)
+    pointer = np.arange(len(rows), dtype=np.int32)
+    part = np.zeros(len(rows), np.int32)
     for column in range(rows.shape[1]):
         value = rows[pointer, column]
         ends = value >= 0
-        pointer, part, value = pointer[ends], part[ends], value[ends].astype(np.int64)
+        pointer, part, value = pointer[ends], part[ends], value[ends]
         done_pointer, done_part, parts = [], [], 0
         while len(pointer):
             # pointers of a part lie together; drop light parts, number the others from 0
@@ -299,7 +334,7 @@ def three_way(rows: np.ndarray, weights: np.ndarray, min_weight: int):
             pointer, value, size = pointer[keep], value[keep], size[heavy]
             if not len(pointer):
                 break
-            part = np.repeat(np.arange(len(size)), size)
+            part = np.repeat(np.arange(len(size), dtype=np.int32), size)
             first = np.cumsum(size) - size
             # the middle of three of the part's values splits it
             some = value[np.stack([first, first + size // 2, first + size - 1])]
@@ -316,7 +351,7 @@ def three_way(rows: np.ndarray, weights: np.ndarray, min_weight: int):
             n_above = np.cumsum(np.bincount(above, minlength=len(size)))
             to_below = np.arange(len(below)) + np.append(0, n_above)[below]
             to_above = np.arange(len(above)) + n_below[above]
-            moved = np.empty((3, len(below) + len(above)), np.int64)
+            moved = np.empty((3, len(below) + len(above)), np.int32)
             moved[:, to_below] = pointer[less], value[less], 2 * below
             moved[:, to_above] = pointer[more], value[more], 2 * above + 1
             pointer, value, part = moved

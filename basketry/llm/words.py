@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 #: Text bytes handled at a time, so that the arrays made from them stay small. One longer text is
 #: handled alone.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 
 #: Bytes with A-Z in lower case.
 LOWER = np.arange(256, dtype=np.uint8)
