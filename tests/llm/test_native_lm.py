@@ -231,3 +231,12 @@ def test_lm_learns_its_tuning_texts(llm):
     want = Counter("".join(t for _, t in texts).encode())
     got = lm.symbol_counts(lm.pack(docs, 2000))
     assert got[lm.END] == len(texts) and {s: n for s, n in enumerate(got[:256].tolist()) if n} == want
+
+
+def test_dotted_secrets_are_candidates(llm):
+    token, jwt = "sk-a1B2c3D4e5F6g7H8i9J0k1L2", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    texts = [f"the token is {token}. Next", f"bearer {jwt} end", f"host {token}.example", f"mail {token}@x.y"]
+    found = pii.candidates(pii.keyed(frame(llm, texts))).filter("kind = 'secret'").join(
+        pii.keyed(frame(llm, texts)), "key").collect()
+    got = {r["doc_id"]: r["t"][r["start"]:r["end"]] for r in found}
+    assert got == {0: token, 1: jwt}
