@@ -414,6 +414,17 @@ def q_page_extract(spark, d):
     return extract_unique(_t(spark, d, "pages"), "ad")
 
 
+def q_page_extract_product(spark, d):
+    """Text and image from descendants: each page's heading and address as a product card put before the page."""
+    pages = _t(spark, d, "pages")
+    heading = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    card = F.concat(F.lit('<div class="big product-item"><div><p class="product-description">'), heading,
+                    F.lit('</p></div><span><img class="product-item-img" src="'), F.col("url"),
+                    F.lit('?a=1&amp;b=2"></span>more</div>'))
+    return extract_unique(pages.select("page_id", F.concat(card, "html").alias("html")), "product-item",
+                          "product-description", "product-item-img")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items())
     if name.startswith("q_") and callable(fn)
@@ -603,6 +614,10 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT page_id, replace(replace(replace(replace(replace(string_split(s[2], '</div>')[1], "
         "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&') AS description, "
         "CAST(NULL AS VARCHAR) AS image FROM p WHERE len(s) = 2"),
+    "page_extract_product": (
+        "SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), "
+        "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&') AS description, "
+        "url || '?a=1&b=2' AS image FROM pages WHERE html IS NOT NULL AND url IS NOT NULL"),
 }
 ORACLE_SQL["pcy_candidates_raw"] = ORACLE_SQL["pcy_candidates"].replace("item % 100000000 AS k", "item AS k")
 ORACLE_SQL["pcy_candidates_store"] = ORACLE_SQL["pcy_candidates_raw"]

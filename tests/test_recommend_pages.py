@@ -1,4 +1,5 @@
 import json
+import random
 
 from basketry.operators.pages import extract_unique, parse_unique
 from basketry.operators.recommend import (lookup, rec_union, recs_preview, top_partners,
@@ -94,6 +95,28 @@ def test_extract_unique(spark):
     assert [tuple(r) for r in nested.collect()] == [(6, "Office chair", "/a.jpg?x=1&y=2")]
 
 
+def test_extract_unique_equals_the_parser(spark):
+    """Random markup, regular and broken, against the parser page by page."""
+    ship_package(spark)
+    rng = random.Random(7)
+    bits = ['<div class="ad">', '<div class="ad x" id=q>', "<div class='bad'>", "<div>", "</div>", "</div>", "<p>", "</p>",
+            "<b>", "</b>", "<br>", "<br/>", '<b class="t">', '<p class="t u">', "</b>", "</p>", '<img class="i" src="/a?x=1&amp;y">',
+            '<img class="i">', '<img class="i" src="">', "<img src='/b' class='i'>", "text ", "a &amp; b", "&lt;", "&eacute;", "&copy", "é",
+            "<!-- <div class='ad'> -->", "<script>var t='<div class=\"ad\">'</script>", "1 < 2", "a > b", "<DIV CLASS='ad'>",
+            '<p title="x class=\'ad\'>">', "<div class=ad>", "</span>", "<span>", "\n"]
+    docs = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    docs += ['<div class="ad">' + "".join(rng.choice(bits[10:26]) for _ in range(4)) + "</div>" + rng.choice(bits)
+             for _ in range(500)]
+    docs.append('<div class="ad">' + "<b>w</b> " * 5000 + "</div>" + "<p a='1'>" * 5000)
+    pages = spark.createDataFrame(list(enumerate(docs)), "page_id BIGINT, html STRING").repartition(4)
+    for text_class, img_class in ((None, None), ("t", "i")):
+        got = {r.page_id: (r.description, r.image)
+               for r in extract_unique(pages, "ad", text_class, img_class).collect()}
+        want = {i: w for i, d in enumerate(docs) if (w := parse_unique(d, "ad", text_class, img_class)) is not None}
+        assert len(want) > 300
+        assert [(docs[i][:300], got.get(i), want.get(i)) for i in got | want if got.get(i) != want.get(i)][:5] == []
+
+
 def test_respond_keeps_null_fields(spark):
     recs = spark.createDataFrame([(1, 2, 5)], "product_id BIGINT, rec_id BIGINT, support BIGINT")
     cat = spark.createDataFrame([(1, "chair", None), (2, None, "l.png")],
