@@ -18,6 +18,7 @@ document is classified by its whole text.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from pyspark.sql import types as T
 from basketry.llm.common import id_bucket, restored, slices, with_rest
 
 PIECE = 256
+#: Letters that have a symbol of their own; of larger alphabets the rare letters have two.
+DIRECT = 250
 FLAG = 1 << 30
 UNDETERMINED = "und"
 
@@ -74,16 +77,32 @@ def suffix_automaton(codes) -> tuple[list[dict], list[int], list[int]]:
     return trans, link, length
 
 
+def symbols_of(letters: list[str], direct: int = DIRECT) -> tuple[dict[str, tuple[int, ...]], int]:
+    """Symbols of each letter, most frequent letters first, and the number of all symbols.
+
+    Up to ``direct`` letters have a symbol each. Of more, as in large scripts, the rare ones have two, a
+    first and a second digit, so no two letters share a code while the table stays narrow. Symbol 0 is what
+    stands between words, the last one any letter not listed.
+    """
+    digits, single = 0, len(letters)
+    if single > direct:
+        digits = next((d for d in range(2, direct // 2 + 1) if direct - 2 * d + d * d >= len(letters)),
+                      math.isqrt(len(letters)) + 1)
+        single = max(0, direct - 2 * digits)
+    out = {c: (i + 1,) for i, c in enumerate(letters[:single])}
+    for i, c in enumerate(letters[single:]):
+        out[c] = (single + 1 + i // digits, single + 1 + digits + i % digits)
+    return out, single + 2 * digits + 2
+
+
 class CrossParser:
     """Dense tables of the languages' automata, and the parse of many texts at once."""
 
     def __init__(self, samples: dict[str, list[str]], train_chars: int):
         self.langs = sorted(samples)
         each = max(1, train_chars // max(1, len(self.langs)))
-        letters = sorted({c for texts in samples.values() for t in texts for c in t.lower()
-                          if c.isalpha()})[:250]
-        self.classes = {c: i + 1 for i, c in enumerate(letters)}  # 0: space
-        self.width = len(letters) + 2                             # last: letters never seen
+        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
+        self.classes, self.width = symbols_of([c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))])
         tables, roots, self.log_len, base = [], [], [], 0
         for lang in self.langs:
             codes: list[int] = []
@@ -117,19 +136,20 @@ class CrossParser:
     def _codes_of(self, text: str) -> list[int]:
         out, last = [], 0
         for c in text.lower():
-            k = self.classes.get(c, self.width - 1) if c.isalpha() else 0
-            if k or last:
-                out.append(k)
-            last = k
+            codes = self.classes.get(c, (self.width - 1,)) if c.isalpha() else (0,)
+            if codes[0] or last:
+                out.extend(codes)
+            last = codes[0]
         return out
 
     def lookup(self) -> np.ndarray:
-        """Class of every code point; built once in a worker."""
+        """First and second symbol of every code point, 0 for none; built once in a worker."""
         if not hasattr(self, "_lookup"):
             alpha = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
-            table = np.where(alpha, self.width - 1, 0).astype(np.uint8)
+            table = np.zeros((2, 0x110000), np.uint16)
+            table[0] = np.where(alpha, self.width - 1, 0)
             for c, k in self.classes.items():
-                table[ord(c)] = k
+                table[:len(k), ord(c)] = k
             self._lookup = table
         return self._lookup
 
@@ -141,19 +161,27 @@ class CrossParser:
         low = [t.lower() for t in texts]
         sizes = np.fromiter(map(len, low), np.int64, len(low))
         points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.lookup()[points]
+        codes = self.lookup()[0][points]
         owner = np.repeat(np.arange(len(low)), sizes)
         keep = codes != 0
         if keep.size:
             keep[1:] |= (codes[:-1] != 0) & (owner[1:] == owner[:-1])
         codes, owner = codes[keep], owner[keep]
-        n_chars = np.bincount(owner, minlength=len(low))
-        starts = np.concatenate([[0], np.cumsum(n_chars)[:-1]])
-        pieces = -(-n_chars // PIECE)
+        n_chars = n_codes = np.bincount(owner, minlength=len(low))
+        second = self.lookup()[1][points[keep]]
+        if second.any():
+            at = np.cumsum(1 + (second > 0)) - 1 - (second > 0)
+            wide = np.zeros(len(codes) + np.count_nonzero(second), codes.dtype)
+            wide[at] = codes
+            wide[at[second > 0] + 1] = second[second > 0]
+            codes, owner = wide, np.repeat(owner, 1 + (second > 0))
+            n_codes = np.bincount(owner, minlength=len(low))
+        starts = np.concatenate([[0], np.cumsum(n_codes)[:-1]])
+        pieces = -(-n_codes // PIECE)
         of = np.repeat(np.arange(len(low)), pieces)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = starts[of] + nth * PIECE
-        size = np.minimum(n_chars[of] - nth * PIECE, PIECE)
+        size = np.minimum(n_codes[of] - nth * PIECE, PIECE)
         order = np.argsort(-size, kind="stable")
         begin, size, of = begin[order], size[order], of[order]
         found = np.zeros((len(self.langs), len(of)), np.int32)
@@ -192,7 +220,7 @@ def classify(docs: DataFrame, parser: CrossParser) -> DataFrame:
         for part in slices(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
             n_chars, found = cp.phrases(texts)
-            alpha = cp.lookup()
+            alpha = cp.lookup()[0]
             if cp.langs:
                 cost = found * bits
                 best = cost.argmin(axis=0)

@@ -140,3 +140,44 @@ def test_language_accuracy_and_odd_rows(llm, odd, empty):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
     unlabelled = langid.identify(odd.selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
+
+
+def test_language_of_large_scripts(llm):
+    """Languages whose letters are thousands: none is merged with another, whatever its code point."""
+    rng = random.Random(5)
+    ranges = {"en": (97, 26), "el": (0x3B1, 24), "ru": (0x430, 32), "he": (0x5D0, 27), "th": (0xE01, 44), "am": (0x1200, 70),
+              "ja": (0x3041, 83), "zh": (0x4E00, 2500), "ko": (0xAC00, 2500)}
+    rows = []
+    for n, (lang, (first, size)) in enumerate(ranges.items()):
+        words = ["".join(chr(first + min(int(rng.expovariate(6 / size)), size - 1)) for _ in range(rng.randint(2, 6)))
+                 for _ in range(400)]
+        rows += [(100 * n + k, " ".join(rng.choices(words, k=60)), lang) for k in range(40)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows) and any(r.held_out for r in got.values())
+    letters = [chr(0x4E00 + i) for i in range(9000)]
+    for many in (250, 251, 3000, 9000):
+        codes, width = langid.symbols_of(letters[:many])
+        assert len(set(codes.values())) == many and max(map(max, codes.values())) < width - 1
+    assert langid.symbols_of(letters[:3000])[1] <= langid.DIRECT + 2
+
+
+def test_two_symbol_letters_parse_alike():
+    """The vector parse of letters of two symbols, against the parse of their codes one by one."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice(string) for _ in range(n))
+    string = [chr(0x4E00 + i) for i in range(400)] + [" "] * 20
+    train = [text(3000)]
+    parser = langid.CrossParser({"l": train}, 10_000)
+    assert any(len(k) == 2 for k in parser.classes.values())
+    known = "\0".join(",".join(map(str, parser._codes_of(t))) for t in train)
+    texts = [text(n) for n in (0, 1, 2, 60, 100)] + [train[0][500:600]]
+    n_chars, found = parser.phrases(texts)
+    for k, t in enumerate(texts):
+        codes, phrases, at = parser._codes_of(t), 0, 0
+        while at < len(codes):
+            size = 1
+            while at + size < len(codes) and f",{','.join(map(str, codes[at:at + size + 1]))}," in f",{known},":
+                size += 1
+            phrases, at = phrases + 1, at + size
+        assert found[0][k] == phrases
