@@ -5,11 +5,13 @@ language and source: statistics are transformed to a vector of roughly equal spr
 covariance-determinant (MCD) estimate of centre and covariance is made per group, and a vector whose
 robust Mahalanobis distance exceeds the limit is rejected.
 
-MCD by concentration steps: start from each group's median and median deviation, keep the
-``share`` of vectors with the smallest distance, estimate mean and covariance from those alone, and
-repeat. All of it is grouped sums and histograms, which Spark combines map-side, so a source that
-holds a third of all rows is a few partial sums a task. Vectors are rounded to multiples of
-1/``GRID`` and summed as exact decimals: results don't depend on how rows were partitioned.
+MCD by concentration steps: keep the ``share`` of vectors with the smallest distance, estimate mean
+and covariance from those alone, and repeat. A group has four starts (``FIRST`` and signs), and the
+end of least determinant is its estimate. Groups of few rows are shrunk towards their language, and
+small languages towards all. All of it is grouped sums and histograms, which Spark combines map-side,
+and joins with one row a group are salted, so a source that holds a third of all rows is spread over
+all tasks. Vectors are rounded to multiples of 1/``GRID`` and summed as exact decimals: results don't
+depend on how rows were partitioned.
 """
 
 from __future__ import annotations
@@ -34,6 +36,14 @@ LIMIT = 28.47
 #: By share kept: factor that makes the covariance of the innermost rows consistent for normal vectors of
 #: four parts, share / P(chi2(6) <= share quantile of chi2(4)).
 CONSISTENCY = {0.5: 2.05, 0.75: 1.49}
+#: Share kept by the first step of each start that begins at median and median deviation. One more
+#: start begins at the covariance of the signs (directions from the median).
+FIRST = (0.75, 0.5, 1.0)
+#: Rows at which a group's own estimate weighs as much as its language's.
+SHRINK = 50
+SALTS = 16
+#: Parts beyond this are cut to it, so that products of grid numbers fit 64 bits.
+LARGEST = float(2**20)
 
 
 def text_statistics(docs: DataFrame, *carry: str) -> DataFrame:
@@ -74,12 +84,22 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def binned_quantile(df: DataFrame, keys: list[str], value: str, q: float, width: float) -> DataFrame:
+def joined(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with a few rows a key, each key cut into ``SALTS`` parts by the content of ``rows``."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return rows.withColumn("salt_", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).join(
+        small.withColumn("salt_", salts), [*on, "salt_"], how).drop("salt_")
+
+
+def binned_quantile(df: DataFrame, keys: list[str], value: str, q: float | Column, width: float,
+                    weight: Column | None = None) -> DataFrame:
     """(keys, value): the lower ``q`` quantile of a column per group, to a bin of ``width``.
 
     Rows are counted into bins first, so a group reaches one task as its bins, not its rows.
+    ``weight`` counts a row several times; ``q`` may depend on the keys.
     """
-    bins = df.groupBy(*keys, F.floor(F.col(value) / width).alias("bin")).count()
+    bins = df.groupBy(*keys, F.floor(F.col(value) / width).alias("bin")).agg(
+        F.sum(F.lit(1) if weight is None else weight).alias("count"))
     whole = Window.partitionBy(*keys)
     run = bins.withColumn("run", F.sum("count").over(whole.orderBy("bin"))).withColumn(
         "total", F.sum("count").over(whole))
@@ -87,14 +107,17 @@ def binned_quantile(df: DataFrame, keys: list[str], value: str, q: float, width:
         ((F.min("bin") + 0.5) * width).alias(value))
 
 
-def _cholesky(dim: int) -> list[Column]:
-    """Columns l_i_j of the lower factor of c_i_j, given the former ones."""
-    out = []
+def _cholesky(floors: list[float]) -> list[tuple[str, Column]]:
+    """Columns l_i_j of the lower factor of c_i_j, given the former ones.
+
+    Where a part's variance, given the parts before it, is below its floor, it is raised to that.
+    """
+    out, dim = [], len(floors)
     for j in range(dim):
         for i in range(j, dim):
             dot = reduce(lambda a, k: a + F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.lit(0.0))
             rest = F.col(f"c_{i}_{j}") - dot
-            out.append((f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j
+            out.append((f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floors[i]**2))) if i == j
                         else rest / F.col(f"l_{j}_{j}")))
     return out
 
@@ -110,89 +133,172 @@ def _distance(dim: int) -> Column:
     return reduce(lambda a, z: a + z * z, solved, F.lit(0.0))
 
 
+def _below(dim: int) -> list[tuple[int, int]]:
+    """Places of a lower triangle, by row."""
+    return [(i, j) for i in range(dim) for j in range(i + 1)]
+
+
+def _factored(df: DataFrame, carry: list[str], floors: list[float]) -> DataFrame:
+    """(carry, m_i, c_i_j, l_i_j): the Cholesky factor beside centre and covariance."""
+    dim = len(floors)
+    for name, value in _cholesky(floors):
+        df = df.withColumn(name, value)
+    return df.select(*carry, *[f"m_{i}" for i in range(dim)],
+                     *[f"{name}_{i}_{j}" for name in "cl" for i, j in _below(dim)])
+
+
+def _starts(vectors: DataFrame, key: str, floors: list[float]) -> DataFrame:
+    """(key, start, m_i, c_i_j, l_i_j) before the first step.
+
+    Starts that differ in the share of their first step alone begin at median and median deviation,
+    the last one at the covariance of directions from the median, scaled by the deviations.
+    """
+    dim = len(floors)
+    long = vectors.select(key, "n", F.posexplode(F.array(*[f"x_{i}" for i in range(dim)])).alias("i", "x"))
+    centre = binned_quantile(long, [key, "i"], "x", 0.5, 1 / 64, F.col("n"))
+    spread = binned_quantile(joined(long, centre.withColumnRenamed("x", "m"), [key, "i"]).select(
+        key, "i", "n", F.abs(F.col("x") - F.col("m")).alias("d")), [key, "i"], "d", 0.5, 1 / 64, F.col("n"))
+    part = lambda name, i: F.max(F.when(F.col("i") == i, F.col(name)))
+    plain = staged(centre.join(spread, [key, "i"]).groupBy(key).agg(
+        *[part("x", i).alias(f"m_{i}") for i in range(dim)],
+        *[F.greatest(part("d", i) * 1.4826, F.lit(floors[i])).alias(f"s_{i}") for i in range(dim)]), "mcd_plain")
+    z = [(F.col(f"x_{i}") - F.col(f"m_{i}")) / F.col(f"s_{i}") for i in range(dim)]
+    seen = joined(vectors, plain, [key]).withColumn("norm", reduce(lambda a, b: a + b * b, z, F.lit(0.0)))
+    unit = float(GRID**2)  # products of directions as whole numbers, so their sums are exact
+    signs = seen.filter("norm > 0").groupBy(key).agg(F.sum("n").alias("n"), *[
+        F.sum(F.round(z[i] * z[j] / F.col("norm") * unit).cast("decimal(24,0)") * F.col("n")).cast("double").alias(f"q_{i}_{j}")
+        for i, j in _below(dim)])
+    same = F.explode(F.sequence(F.lit(0), F.lit(len(FIRST) - 1))).alias("start")
+    mean = [f"m_{i}" for i in range(dim)]
+    flat = plain.select(key, same, *mean, *[
+        (F.col(f"s_{i}") * F.col(f"s_{i}") if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in _below(dim)])
+    turned = plain.join(signs, key).select(key, F.lit(len(FIRST)).alias("start"), *mean, *[
+        (F.col(f"q_{i}_{j}") / F.col("n") / unit * dim * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}")
+        for i, j in _below(dim)])
+    return _factored(flat.unionByName(turned), [key, "start"], floors)
+
+
 def mcd(vectors: DataFrame, key: str, parts: list[str], floors: list[float], share: float = 0.75,
         steps: int = 3) -> DataFrame:
-    """(key, m_i, l_i_j): robust centre and Cholesky factor of the covariance per group.
+    """(key, n, m_i, c_i_j, l_i_j): rows, robust centre, covariance and its Cholesky factor per group.
 
-    ``floors`` are the least standard deviations; they also make a group whose vectors lie in a
-    plane, or all agree, regular.
+    Every start takes ``steps`` concentration steps; of their ends the one of least determinant counts
+    (ties: the first start). ``floors`` are the least standard deviations of the factor, which make a
+    group whose vectors lie in a plane, or all agree, regular.
     """
     dim = len(parts)
-    vectors = vectors.select(key, *[(F.round(F.col(p) * GRID) / GRID).alias(f"x_{i}") for i, p in enumerate(parts)])
-    long = vectors.select(key, F.posexplode(F.array(*[f"x_{i}" for i in range(dim)])).alias("i", "x"))
-    centre = binned_quantile(long, [key, "i"], "x", 0.5, 1 / 64)
-    spread = binned_quantile(long.join(centre.withColumnRenamed("x", "m"), [key, "i"]).select(
-        key, "i", F.abs(F.col("x") - F.col("m")).alias("d")), [key, "i"], "d", 0.5, 1 / 64)
-    part = lambda name, i: F.max(F.when(F.col("i") == i, F.col(name)))
-    start = centre.join(spread, [key, "i"]).groupBy(key).agg(
-        *[part("x", i).alias(f"m_{i}") for i in range(dim)],
-        *[F.greatest(part("d", i) * 1.4826, F.lit(floors[i])).alias(f"l_{i}_{i}") for i in range(dim)])
-    for i in range(dim):
-        for j in range(i):
-            start = start.withColumn(f"l_{i}_{j}", F.lit(0.0))
-    estimate = staged(start, "mcd")
-    for _ in range(steps):
-        far = vectors.join(estimate, key).select(
-            key, *[f"x_{i}" for i in range(dim)], F.log1p(_distance(dim)).alias("d"))
-        limit = binned_quantile(far, [key], "d", share, 1 / 64).select(key, (F.col("d") + 1 / 128).alias("limit"))
-        near = far.join(limit, key).filter("d <= limit")
+    xs = [f"x_{i}" for i in range(dim)]
+    cut = lambda p: F.greatest(F.least(F.col(p), F.lit(LARGEST)), F.lit(-LARGEST))
+    vectors = staged(vectors.groupBy(key, *[(F.round(cut(p) * GRID) / GRID).alias(x) for p, x in zip(parts, xs)])
+                     .agg(F.count("*").alias("n")), "mcd_vectors")
+    estimate = staged(_starts(vectors, key, floors), "mcd")
+    keys = [key, "start"]
+    for step in range(steps):
+        kept = F.lit(share)
+        if step == 0:
+            for start, first in enumerate(FIRST):
+                kept = F.when(F.col("start") == start, first).otherwise(kept)
+        far = joined(vectors, estimate, [key]).select(*keys, "n", *xs, F.log1p(_distance(dim)).alias("d"))
+        limit = binned_quantile(far, keys, "d", kept, 1 / 64, F.col("n")).select(
+            *keys, (F.col("d") + 1 / 128).alias("limit"))
+        near = joined(far, staged(limit, "mcd_limit"), keys).filter("d <= limit")
         # exact sums of grid numbers
-        whole = [(F.col(f"x_{i}") * GRID).cast("long") for i in range(dim)]
-        total = lambda c: F.sum(c.cast("decimal(24,0)")).cast("double")
-        sums = near.groupBy(key).agg(
-            F.count("*").alias("n"), *[total(whole[i]).alias(f"s_{i}") for i in range(dim)],
-            *[total(whole[i] * whole[j]).alias(f"q_{i}_{j}") for i in range(dim) for j in range(i + 1)])
-        means = sums.select(key, "n", *[(F.col(f"s_{i}") / F.col("n") / GRID).alias(f"m_{i}") for i in range(dim)],
-                            *[f"q_{i}_{j}" for i in range(dim) for j in range(i + 1)])
-        fit = means.select(key, *[f"m_{i}" for i in range(dim)], *[
+        whole = [(F.col(x) * GRID).cast("long") for x in xs]
+        total = lambda c: F.sum(c.cast("decimal(24,0)") * F.col("n")).cast("double")
+        sums = near.groupBy(*keys).agg(
+            F.sum("n").alias("n"), *[total(whole[i]).alias(f"s_{i}") for i in range(dim)],
+            *[total(whole[i] * whole[j]).alias(f"q_{i}_{j}") for i, j in _below(dim)])
+        means = sums.select(*keys, "n", *[(F.col(f"s_{i}") / F.col("n") / GRID).alias(f"m_{i}") for i in range(dim)],
+                            *[f"q_{i}_{j}" for i, j in _below(dim)])
+        fit = means.select(*keys, *[f"m_{i}" for i in range(dim)], *[
             ((F.col(f"q_{i}_{j}") / F.col("n") / GRID**2 - F.col(f"m_{i}") * F.col(f"m_{j}"))
-             * CONSISTENCY.get(share, 1.0) + (floors[i]**2 if i == j else 0.0)).alias(f"c_{i}_{j}")
-            for i in range(dim) for j in range(i + 1)])
-        for name, value in _cholesky(dim):
-            fit = fit.withColumn(name, value)
-        estimate = staged(fit.select(key, *[f"m_{i}" for i in range(dim)],
-                                     *[f"l_{i}_{j}" for i in range(dim) for j in range(i + 1)]), "mcd")
-    return estimate
-
-
-def grouped(stats: DataFrame, min_group: int) -> DataFrame:
-    """Add the estimation group ``g``: (lang, source), or where that is small the language, or all."""
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
-    stats = stats.withColumn("lang_", name("lang")).withColumn("source_", name("source")).drop("lang", "source")
-    pairs = stats.filter(~F.col("base_failed")).groupBy("lang_", "source_").count()
-    langs = pairs.groupBy("lang_").agg(F.sum("count").alias("of_lang"))
-    group = pairs.join(langs, "lang_").select(
-        "lang_", "source_", F.when(F.col("count") >= min_group, F.concat_ws("\t", "lang_", "source_"))
-        .when(F.col("of_lang") >= min_group, F.col("lang_")).otherwise("").alias("g"))
-    return stats.join(group, ["lang_", "source_"], "left")
-
-
-def quality(docs: DataFrame, min_group: int = 200, limit: float = LIMIT) -> DataFrame:
-    """doc_id, the text statistics, base_failed, distance2 and kept, for every row of ``docs``.
+             * CONSISTENCY.get(share, 1.0)).alias(f"c_{i}_{j}") for i, j in _below(dim)])
+        estimate = staged(_factored(fit, keys, floors), "mcd")
+    volume = reduce(lambda a, b: a + b, [F.log(F.col(f"l_{i}_{i}")) for i in range(dim)])
+    rest = [c for c in estimate.columns if c not in keys]
+    best = estimate.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(volume, F.col("start"))).alias("best"))
+    return staged(best.join(vectors.groupBy(key).agg(F.sum("n").alias("n")), key).select(key, "n", "best.*"), "mcd")
 
-    Groups are (lang, source); null is a group of its own. A group of fewer than ``min_group`` rows
-    that pass the fixed rules shares its language's estimate, a small language that of all such.
-    Rows that fail the fixed rules have no distance and aren't kept. Repeated rows count each time;
-    a null id is carried as it is.
+
+def shrunk(levels: DataFrame, estimate: DataFrame, floors: list[float], weight: float) -> DataFrame:
+    """(g, m_i, l_i_j) for every row of ``levels`` (g, of_lang, of_all: keys of ``estimate``).
+
+    A group of n rows and its language become one mixture, the group's share n / (n + weight); the
+    language was mixed with all rows in the same way. Centre and covariance are the mixture's.
+    """
+    dim = len(floors)
+    cols = [f"m_{i}" for i in range(dim)] + [f"c_{i}_{j}" for i, j in _below(dim)]
+    named = lambda p: estimate.select(F.col("key").alias(p), F.col("n").alias(f"n_{p}"),
+                                      *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    mix = levels.select("g", "of_lang", "of_all").distinct()
+    for p in ("g", "of_lang", "of_all"):
+        mix = mix.join(named(p), p)
+    upper = "of_all"
+    for p in ("of_lang", "g"):
+        own = F.col(f"n_{p}") / (F.col(f"n_{p}") + weight)
+        off = [F.col(f"{p}_m_{i}") - F.col(f"{upper}_m_{i}") for i in range(dim)]
+        mixed = {c: own * F.col(f"{p}_{c}") + (1 - own) * F.col(f"{upper}_{c}") for c in cols}
+        mixed |= {f"c_{i}_{j}": mixed[f"c_{i}_{j}"] + own * (1 - own) * off[i] * off[j] for i, j in _below(dim)}
+        mix = mix.withColumns({f"{p}_{c}": value for c, value in mixed.items()})
+        upper = p
+    mix = _factored(mix.select("g", *[F.col(f"g_{c}").alias(c) for c in cols]), ["g"], floors)
+    return mix.drop(*[c for c in cols if c.startswith("c_")])
+
+
+def centred(stats: DataFrame, weight: float) -> DataFrame:
+    """(g, middle): typical mean word length of every group, shrunk as its estimate is."""
+    key = F.explode(F.array("g", "of_lang", "of_all")).alias("key")
+    sizes = stats.groupBy("g", "of_lang", "of_all").count()
+    rows = sizes.select(key, "count").groupBy("key").agg(F.sum("count").alias("n"))
+    level = staged(binned_quantile(stats.select(key, "mean_length"), ["key"], "mean_length", 0.5, 1 / 64).join(
+        rows, "key"), "middle")
+    out = sizes.drop("count")
+    for p in ("g", "of_lang", "of_all"):
+        out = out.join(level.select(F.col("key").alias(p), F.col("mean_length").alias(f"m_{p}"), F.col("n").alias(f"n_{p}")), p)
+    mixed = F.col("m_of_all")
+    for p in ("of_lang", "g"):
+        own = F.col(f"n_{p}") / (F.col(f"n_{p}") + weight)
+        mixed = own * F.col(f"m_{p}") + (1 - own) * mixed
+    return staged(out.select("g", mixed.alias("middle")), "middle")
+
+
+def vectors_of(docs: DataFrame, weight: float = SHRINK) -> DataFrame:
+    """(doc_id, statistics, base_failed, g, of_lang, of_all, ``VECTOR``) of every row of ``docs``.
+
+    g names language and source, of_lang the language, of_all all rows; null is a value of its own.
     """
     docs = docs.select("doc_id", "text", "lang", "source")
-    stats = staged(text_statistics(docs, "doc_id", "lang", "source"), "statistics")
-    stats = grouped(stats.withColumn("base_failed", base_failed()), min_group)
-    stats = stats.withColumn("mean_length", F.try_divide("word_chars", "n_words"))
-    middle = binned_quantile(stats.filter(~F.col("base_failed")), ["g"], "mean_length", 0.5, 1 / 64)
+    stats = staged(text_statistics(docs, "doc_id", "lang", "source").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
+        F.to_json(F.array(F.col("lang").cast("string"), F.col("source").cast("string"))).alias("g"),
+        F.to_json(F.array(F.col("lang").cast("string"))).alias("of_lang"), F.lit("[]").alias("of_all"),
+        F.try_divide("word_chars", "n_words").alias("mean_length")), "statistics")
+    middle = centred(stats.filter(~F.col("base_failed")), weight)
     share = lambda c, of: F.sqrt(F.try_divide(c, of))
-    stats = staged(stats.join(middle.withColumnRenamed("mean_length", "middle"), "g", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "g",
-        ((F.col("mean_length") - F.col("middle")) * F.sqrt("n_words")).alias("v_length"),
+    return staged(joined(stats, middle, ["g"], "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "g", "of_lang", "of_all", ((F.col("mean_length") - F.col("middle")) * F.sqrt("n_words")).alias("v_length"),
         share("n_symbols", "word_chars").alias("v_symbols"), share("n_dup_lines", "n_words").alias("v_lines"),
         share("n_repeat_words", "n_words").alias("v_repeats")), "vectors")
+
+
+def quality(docs: DataFrame, weight: float = SHRINK, limit: float = LIMIT) -> DataFrame:
+    """doc_id, the text statistics, base_failed, distance2 and kept, for every row of ``docs``.
+
+    Groups are (lang, source); null is a group of its own. Every group has its own estimate, mixed
+    with its language's, which counts as ``weight`` rows; languages are mixed with all rows likewise.
+    Rows that fail the fixed rules have no distance and aren't kept. Repeated rows count each time;
+    a null id is carried as it is.
+    """
+    stats = vectors_of(docs, weight)
     good = stats.filter(~F.col("base_failed"))
-    estimate = mcd(good, "g", list(VECTOR), [FLOOR[v] for v in VECTOR])
-    dim = len(VECTOR)
-    judged = stats.join(estimate, "g", "left")
+    floors = [FLOOR[v] for v in VECTOR]
+    estimate = mcd(good.select(F.explode(F.array("g", "of_lang", "of_all")).alias("key"), *VECTOR), "key",
+                   list(VECTOR), floors)
+    judged = joined(stats, staged(shrunk(good, estimate, floors, weight), "estimates"), ["g"], "left")
     for i, v in enumerate(VECTOR):
         judged = judged.withColumnRenamed(v, f"x_{i}")
-    judged = judged.withColumn("distance2", F.when(~F.col("base_failed"), _distance(dim)))
+    judged = judged.withColumn("distance2", F.when(~F.col("base_failed"), _distance(len(VECTOR))))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "distance2",
                          (~F.col("base_failed") & (F.col("distance2") <= limit)).alias("kept"))

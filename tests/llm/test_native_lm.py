@@ -60,6 +60,97 @@ def test_mcd_ignores_outliers(llm):
     assert 0.5 < g["l_0_0"] / 2 < 1.6 and est["same"]["m_0"] == 1.0 and est["same"]["l_0_0"] > 0
 
 
+def bin_quantile(x, q, width):
+    bins, counts = np.unique(np.floor(np.asarray(x) / width), return_counts=True)
+    return (bins[np.argmax(np.cumsum(counts) >= len(x) * q)] + 0.5) * width
+
+
+def factor(c, floors):
+    """Lower factor by columns, a rest of variance below the floor raised to it."""
+    low, rest = np.zeros_like(c), c.copy()
+    for j in range(len(c)):
+        rest[j, j] = max(rest[j, j], floors[j]**2)
+        low[j:, j] = rest[j:, j] / math.sqrt(rest[j, j])
+        rest -= np.outer(low[:, j], low[:, j])
+    return low
+
+
+def distance2(x, m, c, floors):
+    return (np.linalg.solve(factor(c, floors), (x - m).T)**2).sum(0)
+
+
+def plain_mcd(x, floors):
+    """Centre and covariance by plain numpy: four starts, three steps, least determinant."""
+    m = np.array([bin_quantile(col, 0.5, 1 / 64) for col in x.T])
+    s = np.maximum([1.4826 * bin_quantile(np.abs(col - c), 0.5, 1 / 64) for col, c in zip(x.T, m)], floors)
+    z = (x - m) / s
+    turn = z[(z**2).sum(1) > 0]
+    turn = turn / np.sqrt((turn**2).sum(1))[:, None]
+    starts = [(first, m, np.diag(s**2)) for first in quality.FIRST]
+    if len(turn):
+        starts.append((0.75, m, turn.T @ turn / len(turn) * x.shape[1] * np.outer(s, s)))
+    ends = []
+    for first, m, c in starts:
+        for share in (first, 0.75, 0.75):
+            d = np.log1p(distance2(x, m, c, floors))
+            near = x[d <= bin_quantile(d, share, 1 / 64) + 1 / 128]
+            m, c = near.mean(0), np.cov(near.T, bias=True) * quality.CONSISTENCY[0.75]
+        ends.append((np.log(np.diag(factor(c, floors))).sum(), m, c))
+    return min(ends, key=lambda e: round(e[0], 9))[1:]
+
+
+def test_verdicts_match_a_plain_version(llm):
+    """quality() against Python statistics and numpy estimates of every level, mixed by hand."""
+    docs = llm.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd_lang = [(-1 - i, f"only {i} " + "few words of a small language " * (1 + i % 3), "xx", None) for i in range(7)]
+    docs = docs.unionByName(llm.createDataFrame(odd_lang, docs.schema))
+    rows = [(r["doc_id"], (r["lang"], r["source"]), statistics(r["text"])) for r in docs.collect()]
+    ok = [(i, g, s) for i, g, s in rows if s[0] >= 20 and 100 * s[4] <= 30 * s[0]]
+    levels = lambda g: (g, g[:1], ())
+    size = Counter(k for _, g, _ in ok for k in levels(g))
+    own = {k: n / (n + quality.SHRINK) for k, n in size.items()}
+    middle = {k: bin_quantile([s[1] / s[0] for _, g, s in ok if k in levels(g)], 0.5, 1 / 64) for k in size}
+
+    def mixed_middle(g):
+        up = own[g[:1]] * middle[g[:1]] + (1 - own[g[:1]]) * middle[()]
+        return own[g] * middle[g] + (1 - own[g]) * up
+
+    raw = np.array([((s[1] / s[0] - mixed_middle(g)) * math.sqrt(s[0]), math.sqrt(s[2] / s[1]), math.sqrt(s[3] / s[0]),
+                     math.sqrt(s[4] / s[0])) for _, g, s in ok])
+    grid = np.round(raw * quality.GRID) / quality.GRID
+    floors = [quality.FLOOR[v] for v in quality.VECTOR]
+    est = {k: plain_mcd(grid[[k in levels(g) for _, g, _ in ok]], floors) for k in size}
+
+    def mix(k, up):
+        w, off = own[k], est[k][0] - up[0]
+        return w * est[k][0] + (1 - w) * up[0], w * est[k][1] + (1 - w) * up[1] + w * (1 - w) * np.outer(off, off)
+
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert len(got) == len(rows)
+    for (i, g, _), v in zip(ok, raw):
+        m, c = mix(g, mix(g[:1], est[()]))
+        d2 = float(distance2(v[None], m, c, floors)[0])
+        assert got[i]["distance2"] == pytest.approx(d2, rel=1e-6, abs=1e-9)
+        assert got[i]["kept"] == (d2 <= quality.LIMIT)
+    judged = {i for i, _, _ in ok}
+    assert all(not r["kept"] and r["distance2"] is None for i, r in got.items() if i not in judged)
+
+
+def test_least_determinant_of_several_starts(llm):
+    """A group that median and median deviation start badly: two crossing clouds, one much tighter."""
+    rnd = np.random.default_rng(3)
+    tight = rnd.multivariate_normal([0, 0], [[9, 8.9], [8.9, 9]], 3000)
+    wide = rnd.multivariate_normal([3, -9], [[25, 0], [0, 25]], 900)
+    x = np.round(np.vstack([tight, wide]) * quality.GRID) / quality.GRID
+    rows = [("g", float(a), float(b)) for a, b in x] + [("far", 1e300, 2.0), ("far", -1e300, 2.0)]
+    est = {r["g"]: r for r in quality.mcd(llm.createDataFrame(rows, "g string, a double, b double"), "g",
+                                          ["a", "b"], [0.01, 0.01]).collect()}
+    m, c = plain_mcd(x, [0.01, 0.01])
+    assert [est["g"]["m_0"], est["g"]["m_1"]] == pytest.approx(list(m), rel=1e-6)
+    assert [est["g"]["c_0_0"], est["g"]["c_1_0"], est["g"]["c_1_1"]] == pytest.approx([c[0, 0], c[1, 0], c[1, 1]], rel=1e-6)
+    assert est["far"]["n"] == 2 and abs(est["far"]["m_0"]) <= quality.LARGEST
+
+
 def luhn(d):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
