@@ -10,7 +10,7 @@ and covariance from those alone, and repeat. A group has four starts (``FIRST``
 end of least determinant is its estimate. Groups of few rows are shrunk towards their language, and
 small languages towards all. All of it is grouped sums and histograms, which Spark combines map-side,
 and joins with one row a group are salted, so a source that holds a third of all rows is spread over
-all tasks. Vectors are rounded to multiples of 1/``GRID`` and summed as exact decimals: results don't
+all tasks. Vectors are rounded to multiples of 1/``GRID`` and summed as whole numbers: results don't
 depend on how rows were partitioned.
 """
 
@@ -42,8 +42,10 @@ FIRST = (0.75, 0.5, 1.0)
 #: Rows at which a group's own estimate weighs as much as its language's.
 SHRINK = 50
 SALTS = 16
-#: Parts beyond this are cut to it, so that products of grid numbers fit 64 bits.
-LARGEST = float(2**20)
+#: Parts beyond this are cut to it for the estimates. Products of grid numbers then have 48 bits and are
+#: summed in halves of 24, which is exact up to 2^39 rows a group.
+LARGEST = float(2**14)
+HALF = 24
 
 
 def text_statistics(docs: DataFrame, *carry: str) -> DataFrame:
@@ -84,10 +86,10 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def joined(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join rows with a few rows a key, each key cut into ``SALTS`` parts by the content of ``rows``."""
+def joined(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", by: list[str] | None = None) -> DataFrame:
+    """Join rows with a few rows a key, each key cut into ``SALTS`` parts by the columns ``by`` (all) of ``rows``."""
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    return rows.withColumn("salt_", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).join(
+    return rows.withColumn("salt_", F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(SALTS))).join(
         small.withColumn("salt_", salts), [*on, "salt_"], how).drop("salt_")
 
 
@@ -164,9 +166,9 @@ def _starts(vectors: DataFrame, key: str, floors: list[float]) -> DataFrame:
         *[F.greatest(part("d", i) * 1.4826, F.lit(floors[i])).alias(f"s_{i}") for i in range(dim)]), "mcd_plain")
     z = [(F.col(f"x_{i}") - F.col(f"m_{i}")) / F.col(f"s_{i}") for i in range(dim)]
     seen = joined(vectors, plain, [key]).withColumn("norm", reduce(lambda a, b: a + b * b, z, F.lit(0.0)))
-    unit = float(GRID**2)  # products of directions as whole numbers, so their sums are exact
+    unit = float(GRID**2)  # products of directions as whole numbers of 21 bits, so their sums are exact
     signs = seen.filter("norm > 0").groupBy(key).agg(F.sum("n").alias("n"), *[
-        F.sum(F.round(z[i] * z[j] / F.col("norm") * unit).cast("decimal(24,0)") * F.col("n")).cast("double").alias(f"q_{i}_{j}")
+        F.sum(F.round(z[i] * z[j] / F.col("norm") * unit).cast("long") * F.col("n")).cast("double").alias(f"q_{i}_{j}")
         for i, j in _below(dim)])
     same = F.explode(F.sequence(F.lit(0), F.lit(len(FIRST) - 1))).alias("start")
     mean = [f"m_{i}" for i in range(dim)]
@@ -198,16 +200,17 @@ def mcd(vectors: DataFrame, key: str, parts: list[str], floors: list[float], sha
         if step == 0:
             for start, first in enumerate(FIRST):
                 kept = F.when(F.col("start") == start, first).otherwise(kept)
-        far = joined(vectors, estimate, [key]).select(*keys, "n", *xs, F.log1p(_distance(dim)).alias("d"))
+        far = joined(vectors, estimate, [key], by=xs).select(*keys, "n", *xs, F.log1p(_distance(dim)).alias("d"))
         limit = binned_quantile(far, keys, "d", kept, 1 / 64, F.col("n")).select(
             *keys, (F.col("d") + 1 / 128).alias("limit"))
-        near = joined(far, staged(limit, "mcd_limit"), keys).filter("d <= limit")
+        near = joined(far, staged(limit, "mcd_limit"), keys, by=xs).filter("d <= limit")
         # exact sums of grid numbers
         whole = [(F.col(x) * GRID).cast("long") for x in xs]
-        total = lambda c: F.sum(c.cast("decimal(24,0)") * F.col("n")).cast("double")
+        total = lambda c: F.sum(c * F.col("n")).cast("double")
+        halves = lambda c: total(F.shiftright(c, HALF)) * 2.0**HALF + total(c.bitwiseAND(F.lit(2**HALF - 1)))
         sums = near.groupBy(*keys).agg(
             F.sum("n").alias("n"), *[total(whole[i]).alias(f"s_{i}") for i in range(dim)],
-            *[total(whole[i] * whole[j]).alias(f"q_{i}_{j}") for i, j in _below(dim)])
+            *[halves(whole[i] * whole[j]).alias(f"q_{i}_{j}") for i, j in _below(dim)])
         means = sums.select(*keys, "n", *[(F.col(f"s_{i}") / F.col("n") / GRID).alias(f"m_{i}") for i in range(dim)],
                             *[f"q_{i}_{j}" for i, j in _below(dim)])
         fit = means.select(*keys, *[f"m_{i}" for i in range(dim)], *[
@@ -268,11 +271,11 @@ def vectors_of(docs: DataFrame, weight: float = SHRINK) -> DataFrame:
     g names language and source, of_lang the language, of_all all rows; null is a value of its own.
     """
     docs = docs.select("doc_id", "text", "lang", "source")
-    stats = staged(text_statistics(docs, "doc_id", "lang", "source").select(
+    stats = staged(text_statistics(docs, "doc_id", "lang", "source"), "statistics").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
         F.to_json(F.array(F.col("lang").cast("string"), F.col("source").cast("string"))).alias("g"),
         F.to_json(F.array(F.col("lang").cast("string"))).alias("of_lang"), F.lit("[]").alias("of_all"),
-        F.try_divide("word_chars", "n_words").alias("mean_length")), "statistics")
+        F.try_divide("word_chars", "n_words").alias("mean_length"))
     middle = centred(stats.filter(~F.col("base_failed")), weight)
     share = lambda c, of: F.sqrt(F.try_divide(c, of))
     return staged(joined(stats, middle, ["g"], "left").select(
