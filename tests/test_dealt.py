@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketry import session
 from basketry.operators.baskets import basket_items, csv_order_runs, shared_items
 from basketry.operators.counting import frequent_pairs
+from basketry.operators.membership import STRATEGIES, side_strategy
 from basketry.operators.pairs import pair_occurrences
 from basketry.plans.pcy import pcy_distinct_pairs, pcy_pass
 
@@ -56,3 +57,10 @@ def test_few_items_are_grouped_before_they_are_sent(lines, monkeypatch):
     few = lines.withColumn("item", F.col("item") % 6)
     plan = frequent_pairs(few, 0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2 and "partial_sum" in plan.split("Exchange", 1)[1]
+
+
+def test_many_rows_are_not_sorted_to_meet_the_frequent_items(spark, lines, monkeypatch):
+    rows = shared_items(lines)
+    assert side_strategy("auto", rows) == "auto"
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    assert [side_strategy(s, rows) for s in STRATEGIES] == ["shuffle", "broadcast", "shuffle"]
