@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.recommend import lookup
+from basketry.session import materialized
 
 
 def respond(requests: DataFrame, recs: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
@@ -16,14 +17,16 @@ def respond(requests: DataFrame, recs: DataFrame, catalog: DataFrame, k: int = 5
     catalog knows; a field the catalog has no value for is null. A product missing from the catalog gets ``''``.
 
     Every partner list is bounded by ``2k``, so the per-request grouping stays
-    small; the catalog joins are ordinary joins the planner sizes itself.
+    small; the catalog joins are ordinary joins the planner sizes itself. The
+    requests and the partner lists are written to shared scratch, so that no
+    task holds the tables of the lookup and of the catalog joins at once.
     """
-    req = requests.select("product_id")
+    req = materialized(requests.select("product_id"), "requests")
     cat = catalog.select("product_id", "description", "image")
-    partners = (lookup(recs, req, k)
+    partners = (materialized(lookup(recs, req, k), "partners")
                 .join(cat.withColumnRenamed("product_id", "rec_id"), "rec_id"))
-    grouped = partners.groupBy("product_id").agg(
-        F.array_sort(F.collect_list(F.struct("rec_id", "description", "image"))).alias("_p"))
+    grouped = materialized(partners.groupBy("product_id").agg(
+        F.array_sort(F.collect_list(F.struct("rec_id", "description", "image"))).alias("_p")), "partner-lists")
     # The catalog enters both joins with only its key renamed, so both read one
     # exchange of it; a matched key marks a known product.
     known = cat.withColumnRenamed("product_id", "_cid")

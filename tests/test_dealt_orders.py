@@ -1,9 +1,10 @@
-"""The join of the order tables, in tasks that don't grow with the tables."""
+"""The join of the order tables, and responses, in tasks that don't grow with the tables."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from basketry import session
+from basketry.plans import recommend
 from basketry.sources.tables import order_lines
 
 from .test_dealt import rows_of, tasks
@@ -40,3 +41,21 @@ def test_a_heavy_order_is_dealt_over_many_tasks(spark, tables, monkeypatch):
     lines = order_lines(*tables)
     for key, value in (("order_id", 7), ("item", 5)):
         assert lines.where(F.col(key) == value).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_lookup_and_catalog_joins_of_responses_are_apart(spark, monkeypatch):
+    kept, write = {}, recommend.materialized
+
+    def noted(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(recommend, "materialized", noted)
+    requests = spark.createDataFrame([(1,), (1,), (9,), (None,)], "product_id long")
+    recs = spark.createDataFrame([(1, 2, 5), (2, 3, 4), (1, 4, 3)], "product_id long, rec_id long, support long")
+    cat = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "product_id long, description string, image string")
+    out = recommend.respond(requests, recs, cat)
+    one = '[{"description":"a","image":"x"},{"description":"b","image":null}]'
+    assert sorted(out.collect(), key=str) == sorted([(1, one), (1, one), (9, ""), (None, "")], key=str)
+    assert sorted(kept) == ["partner-lists", "partners", "requests"]
+    assert "Window" not in out._jdf.queryExecution().analyzed().toString()
